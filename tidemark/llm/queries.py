@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, tokens, warc
+from . import embeddings, jaccard, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,31 @@ def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), percent=75, words=5)
 
 
+@query
+def op9_pstable_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.links(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+ORACLES["op9_pstable_links"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), s AS (
+  SELECT vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT a AS node, a AS reach FROM p UNION SELECT r.node, p.b FROM r JOIN p ON r.reach = p.a
+), c AS (SELECT node, min(reach) AS component FROM r GROUP BY node),
+n AS (SELECT a AS node, count(*) AS links FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id,
+       coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.node = vec_id LEFT JOIN n ON n.node = vec_id
+"""
+
+
 @query
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)

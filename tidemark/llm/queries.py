@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, tokens, warc
+from . import decontaminate, embeddings, jaccard, mixture, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,36 @@ FROM w
 """
 
 
+@query
+def op4_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources tempered by the square root of their sizes, about as many copies as documents."""
+    return mixture.mix(table(spark, sf_dir, "documents"), alpha=0.5, size=1.0, seed=17).select("doc_id", "text", "lang", "source", "n_chars", "copy_ix", "n_copies", "shuffle_key")
+
+
+ORACLES["op4_poisson_mixture"] = """
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, (sqrt(CAST(n AS DOUBLE)) / sum(sqrt(CAST(n AS DOUBLE))) OVER ()) * sum(n) OVER () / n AS rate FROM n),
+s AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto
+      FROM r, (SELECT unnest(range(0, 300)) AS k)),
+u AS (SELECT d.*, CAST('0x' || substr(md5('17:' || d.doc_id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM documents d),
+c AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) FILTER (WHERE s.upto <= u.u) AS n_copies
+      FROM u JOIN s ON u.source IS NOT DISTINCT FROM s.source GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy_ix AS INT) AS copy_ix, CAST(n_copies AS INT) AS n_copies,
+       md5('17s:' || doc_id || ':' || copy_ix) AS shuffle_key
+FROM (SELECT c.*, unnest(range(0, n_copies)) AS copy_ix FROM c)
+"""
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what was found in it: contaminated, and the sorted ids of the items."""
+    docs = table(spark, sf_dir, "documents")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    by_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.min("edits").alias("least_edits"))
+    out = docs.select("doc_id").join(by_doc, "doc_id", "left")
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), "least_edits")
+
+
 @query
 def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), percent=75, words=5)

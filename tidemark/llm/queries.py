@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, mixture, tokens, toxicity, warc
+from . import decontaminate, embeddings, jaccard, licenses, mixture, quality, secrets, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,14 @@ FROM w
 """
 
 
+@query
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their text and by the site of the page that they were taken from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    evidence = quality.evidence(docs, quality.fit(docs, labels))
+    return quality.combine(evidence, quality.sites(docs, table(spark, sf_dir, "pages")))
+
+
 @query
 def op4_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources tempered by the square root of their sizes, about as many copies as documents."""
@@ -86,6 +94,21 @@ def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), percent=75, words=5)
 
 
+@query
+def op7_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+@query
+def op8_secret_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = secrets.scan(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return secrets.digest(found)
+
+
 @query
 def op9_pstable_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.links(table(spark, sf_dir, "embeddings"), cosine=0.98)

@@ -159,6 +159,16 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, piece_chars:
     return spark.createDataFrame([], MATCH) if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents in which no item was found, with all their columns."""
-    return docs.join(matches(docs, items, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, piece_chars: int = PIECE_CHARS, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """The documents in which no item was found, with all their columns; each slice of items filters them where they stand."""
+    place, schema = docs.columns.index("text"), docs.schema
+    for part in _slices(items, slice_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            finder = Finder(shared.value, rate, piece_chars)
+            for b in batches:
+                yield b.filter(pa.array([not finder(t) for t in texts_of(b.column(place).cast(pa.string()))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -137,3 +137,10 @@ FROM embeddings LEFT JOIN c ON c.node = vec_id LEFT JOIN n ON n.node = vec_id
 @query
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

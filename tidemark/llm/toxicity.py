@@ -214,3 +214,18 @@ def classify(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) ->
     """doc_id, held_out, score, predicted and hits of each document."""
     s = scored(docs, lexicon)
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
+
+
+def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with all their columns; they are scored where they stand."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        automaton, (b0, b1, b2) = lexicon.automaton(), lexicon.logistic
+        for b in batches:
+            f = np.array([features(t, automaton) for t in texts_of(b.column(place).cast(pa.string()))], dtype=np.float64).reshape(-1, 3)
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(b0 + b1 * f[:, 0] + b2 * f[:, 1], -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

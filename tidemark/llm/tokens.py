@@ -19,9 +19,9 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,12 @@ from .common import materialise, new_path, read_file, texts_of, write_file
 MAGIC = b"TMWM0001"
 RANK_BITS = 512
 #: Words of which a task keeps the ids; beyond it starts anew, so memory is bounded.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 700_000
 #: A shard is closed once it holds so many ids.
 SHARD_TOKENS = 2_000_000
 #: Texts are encoded together until they have so many characters.
 CHUNK_CHARS = 500_000
+ENDINGS = ",."
 NULL_ID = -(1 << 63)
 
 
@@ -56,42 +57,57 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        normal, split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.lowers = normal("AZ") == "az"
+        # whether a comma or full stop after letters is a piece of its own
+        self.parts = all([x for x, _ in split(f"ab{c}")] == ["ab", c] for c in ENDINGS)
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Numbered({"": 0})
-        self.pieces: dict[str, list[int]] = {}
+        self.index = _Numbered(self.lowers, self.parts)
+        self.pieces: dict[str, bytes] = {}
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _words_ids(self, words: list[str]) -> list[list[int]]:
+    def _words_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as bytes: small to keep and quick to join."""
         normal = self.tokenizer.normalizer.normalize_str(" ".join(words))
         parts = normal.split(" ")
         if len(parts) != len(words) or any(x in normal for x in self.special) or not normal.isprintable():
-            return [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
-        at, end, known, model, out = -1, -1, self.pieces, self.tokenizer.model, [[] for _ in words]
+            return [self._alone(w) for w in words]
+        at, end, known, model, out = -1, -1, self.pieces, self.tokenizer.model, [b""] * len(words)
         for piece, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
             while start > end:
                 at += 1
                 end += len(parts[at]) + 1
             if (found := known.get(piece)) is None:
-                found = known[piece] = [t.id for t in model.tokenize(piece)]
-            out[at] = out[at] + found if out[at] else found
+                found = known[piece] = array("I", [t.id for t in model.tokenize(piece)]).tobytes()
+            out[at] += found
         return out
 
+    def _known(self, word: str) -> bytes:
+        k = self.index[word]
+        return self.flat[self.starts[k] : self.starts[k] + self.counts[k]].tobytes()
+
+    def _alone(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isprintable()]
+        made = [w for w in words if self.index.is_made(w)]
+        plain = [w for w in words if w.isprintable() and not self.index.is_made(w)]
         found = {}
         for k in range(0, len(plain), 500):
             found.update(zip(plain[k : k + 500], self._words_ids(plain[k : k + 500]), strict=True))
-        ids = [found[w] if w in found else self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        for w in made:
+            found[w] = b"".join(found[x] if x in found else self._known(x) for x in (w[:-1], w[-1]))
+        ids = [found[w] if w in found else self._alone(w) for w in words]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))
         self.counts = np.concatenate((self.counts, counts))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))))
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), np.uint32)))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, end of each text among them)."""
-        if len(self.index) > KEPT_WORDS:
+        if self.index.n > KEPT_WORDS:
             self.clear()
         find, which, sizes = self.index.__getitem__, [], np.zeros(len(texts), dtype=np.int64)
         for k, text in enumerate(texts):
@@ -111,14 +127,26 @@ class WordEncoder:
 
 
 class _Numbered(dict):
-    """Numbers keys as they are asked for; new holds those since it was last emptied."""
+    """Numbers words as they are asked for; new holds those since it was last emptied, parts before what they make up.
+
+    lowers: ASCII words count as their lower-case form. parts: letters before a comma or full stop are known by themselves.
+    """
+
+    def __init__(self, lowers: bool, parts: bool):
+        super().__init__({"": 0})
+        self.lowers, self.parts, self.n, self.new = lowers, parts, 1, []
 
-    def __init__(self, known: dict[str, int]):
-        super().__init__(known)
-        self.new: list[str] = []
+    def is_made(self, word: str) -> bool:
+        return self.parts and len(word) > 1 and word[-1] in ENDINGS and word[:-1].isalpha() and word.isascii()
 
     def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
+        if self.lowers and key.isascii() and (low := key.lower()) != key:
+            n = self[key] = self[low]
+            return n
+        if self.is_made(key):
+            self[key[:-1]], self[key[-1]]  # noqa: B018  numbers them
+        self[key] = n = self.n
+        self.n += 1
         self.new.append(key)
         return n
 
@@ -245,10 +273,10 @@ def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long"
 
 
-def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encodes docs (doc_id, text) in ascending doc_id order into shard files under folder; returns the manifest, written.
 
-    Ranges of doc_id go to one task each; a task streams its rows and closes a shard at SHARD_TOKENS, so memory is
+    Ranges of doc_id go to one task each; a task streams its rows and closes a shard at shard_tokens, so memory is
     bounded by a shard and the longest document. A lost task writes its files again under other names; only the names
     of tasks that ended are in the manifest.
     """
@@ -272,13 +300,13 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str) ->
             first, chars = 0, 0
             for k, text in enumerate(texts):
                 chars += len(text)
-                if chars < CHUNK_CHARS and k + 1 < len(texts):
+                if chars < min(CHUNK_CHARS, 4 * shard_tokens) and k + 1 < len(texts):
                     continue
                 ids, ends = encoder.encode(texts[first : k + 1], end_id)
                 docs += [NULL_ID if doc is None else doc for doc in ids_of[first : k + 1]]
                 held += np.split(ids, ends[:-1])
                 size, first, chars = size + len(ids), k + 1, 0
-                if size >= SHARD_TOKENS:
+                if size >= shard_tokens:
                     yield close()
         if docs:
             yield close()

@@ -1,6 +1,6 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are folded: A-Z lower-cased, runs of white space one space. An item of m characters may be k edits away, k =
+Texts are folded: lower case, runs of white space one space. An item of m characters may be k edits away, k =
 rate * m, at most as many as leave pieces of piece_chars each. Cut into k + 1 pieces, any text within k edits of the
 item holds one piece unchanged at most k places from where it stood. An Aho-Corasick automaton of all pieces finds
 those hits in whole texts; around each, Myers' bit-parallel edit distance decides whether the item stands there.
@@ -27,12 +27,11 @@ from .common import texts_of
 RATE, PIECE_CHARS = 0.05, 16
 #: Characters of items in a slice: its automaton takes some hundreds of bytes a character.
 SLICE_CHARS = 400_000
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WHITE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 def fold(text: str) -> str:
-    return WHITE.sub(" ", text.translate(LOWER) if not text.isascii() else text.lower()).strip(" ")
+    return WHITE.sub(" ", text.lower()).strip(" ")
 
 
 def edits(m: int, rate: float = RATE, piece_chars: int = PIECE_CHARS) -> int:

@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     share = min(1.0, rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    got = _shapes(docs.select("doc_id", "text").join(known, "doc_id"), "quality").limit(2 * rows).toArrow()
+    got = _shapes(docs.select("doc_id", "text").join(F.broadcast(known.limit(2 * rows)), "doc_id"), "quality").limit(2 * rows).toArrow()  # bounded
     x, y = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, FEATURES), np.array(got["quality"].to_pylist(), dtype=np.float64)
     if len(set(y > 0)) < 2:
         return Classifier(np.zeros((FEATURES, BINS - 1)), np.zeros(1 + FEATURES * BINS))

@@ -453,3 +453,34 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     return rows_of(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("before_role"), F.lead("role").over(w).alias("after_role"))
+
+
+@query(
+    DAYS
+    + """, a AS (SELECT r.ord, event_type, user_id, CAST(count(*) AS DOUBLE) AS v FROM e JOIN r USING (run) GROUP BY ALL),
+k AS (SELECT DISTINCT c.ord, event_type, user_id FROM r c JOIN a ON a.ord BETWEEN c.ord - 10 AND c.ord WHERE c.ord > 1),
+v AS (SELECT k.*, b.ord AS base, coalesce(a.v, 0.0) AS v FROM k JOIN r b ON b.ord BETWEEN k.ord - 10 AND k.ord - 1 LEFT JOIN a ON a.ord = b.ord AND a.event_type = k.event_type AND a.user_id = k.user_id),
+m AS (SELECT ord, event_type, user_id, median(v) AS middle FROM v GROUP BY ALL),
+o AS (SELECT m.*, coalesce(a.v, 0.0) AS own FROM m LEFT JOIN a USING (ord, event_type, user_id) WHERE user_id < 3 AND coalesce(a.v, 0.0) <> middle)
+SELECT run, event_type, max(user_id) AS owner, max(own) AS owner_current, max(middle) AS owner_median FROM o JOIN r USING (ord) GROUP BY run, event_type HAVING count(*) = 1"""
+)
+def signal_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users below 3 as the scopes of an event type."""
+    from ..operators.detect import owners
+
+    e = day_events(spark, sf_dir)
+    scopes = e.where("user_id < 3").groupBy("context", "run", "event_type", F.col("user_id").alias("scope_id")).agg(F.count("*").alias("count"))
+    return owners(scopes, day_runs(e), ["event_type"]).drop("context")
+
+
+@query(
+    DAYS
+    + """, a AS (SELECT r.ord, user_id, event_type FROM e JOIN r USING (run) GROUP BY ALL),
+k AS (SELECT DISTINCT c.run, user_id, event_type FROM r c JOIN a ON a.ord BETWEEN c.ord - 10 AND c.ord)
+SELECT run, user_id, max(event_type) AS sole FROM k GROUP BY ALL HAVING count(*) = 1"""
+)
+def sole_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.detect import sole_scope
+
+    e = day_events(spark, sf_dir)
+    return sole_scope(e.select("context", "run", "user_id", F.col("event_type").alias("scope_id")).distinct(), day_runs(e), ["user_id"]).drop("context")

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +34,34 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them again: cuts the lineage and survives lost executors."""
+    """Writes the rows to the shared folder and reads them again: cuts the lineage and survives lost executors.
+
+    The shuffle files behind a written table are of no more use, so they go as soon as it is whole.
+    """
     spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = new_path(spark, what), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tidemark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.tidemark_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -64,6 +87,16 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, *texts: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts take about limit bytes at most, so that what Python holds at once is bounded."""
+    sizes = sum(np.nan_to_num(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.float64)) for k in texts)
+    part = (np.cumsum(sizes) // limit).astype(np.int64) if batch.num_rows else np.zeros(0, np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def blocks(texts: list[str], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, UTF-8 texts) of consecutive blocks of about limit bytes."""
     first, held, size = 0, [], 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         after = materialise(least.join(roots, "label").select("node", F.least("label", "root").alias("label")), "labels")
         moved = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
+        discard(labels)
         labels = after
         if not moved:
+            discard(both)
             return labels

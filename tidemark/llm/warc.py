@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialise, new_path, open_fs, texts_of, write_file
 
 DICT_FRAME = 0x184D2A5D
-#: The dictionary is trained from at most so many records, of each so many bytes, and is as large at most as said.
+#: The dictionary is trained from about so many records (twice as many at most), of each so many bytes, and is as large at most as said.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 2_000, 4_096, 64 << 10
 #: A file is closed once its records take so many bytes before compression.
 FILE_BYTES = 64 << 20
@@ -86,8 +86,10 @@ def decisions(pages: DataFrame, min_bytes: int) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000) -> DataFrame:
     """Writes pages (page_id, url, html) to .warc.zst files under folder; returns the manifest (path, n_records), written."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    # the sample: the rows of the lowest hashes, a bounded number of bounded prefixes
-    sample = rows.select(F.xxhash64("page_id").alias("h"), "page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).orderBy("h", "page_id").limit(SAMPLE_RECORDS).collect()
+    # the sample: rows of low hashes, about a bounded number of bounded prefixes however many pages there are
+    share = min(1.0, SAMPLE_RECORDS / max(1, rows.count()))
+    low = rows.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = low.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).limit(2 * SAMPLE_RECORDS).collect()
     dictionary = train_dictionary([record(r["page_id"], r["url"], bytes(r["payload"]), None) for r in sample])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

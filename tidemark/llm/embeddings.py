@@ -91,9 +91,12 @@ def links(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES, projec
             if (least == label).all():
                 break
             label = least
-        for u in range(t):
-            near &= h[:, u][:, None] != h[:, u][None, :]
-        counted = near @ times
+        one, two = np.nonzero(near)  # those that met in no earlier table
+        counted = np.zeros(len(rep), dtype=np.int64)
+        for k in range(0, len(one), 1 << 16):
+            a, b = one[k : k + (1 << 16)], two[k : k + (1 << 16)]
+            first = ~(h[a, :t] == h[b, :t]).any(axis=1)
+            np.add.at(counted, a[first], times[b[first]])
         out = pd.DataFrame({"key": pdf["key"].to_numpy(), "rep": rep, "n": counted, "to": rep[label]})
         return out[(out["n"] > 0) | (out["to"] != out["rep"])]
 

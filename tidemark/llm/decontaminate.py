@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import slices, texts_of
 
 RATE, PIECE_CHARS = 0.05, 16
 #: Characters of items in a slice: its automaton takes some hundreds of bytes a character.
@@ -146,7 +146,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, piece_chars:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value, rate, piece_chars)
-            for b in batches:
+            for b in (part for batch in batches for part in slices(batch, 1)):
                 rows = []
                 for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                     rows += [(doc, finder.items[n][0], *hit) for n, hit in finder(text).items()]
@@ -166,7 +166,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, piece_chars: in
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value, rate, piece_chars)
-            for b in batches:
+            for b in (part for batch in batches for part in slices(batch, place)):
                 yield b.filter(pa.array([not finder(t) for t in texts_of(b.column(place).cast(pa.string()))], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)

@@ -35,7 +35,7 @@ from .common import materialise, new_path, read_file, texts_of, write_file
 MAGIC = b"TMWM0001"
 RANK_BITS = 512
 #: Words of which a task keeps the ids; beyond it starts anew, so memory is bounded.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 600_000
 #: A shard is closed once it holds so many ids.
 SHARD_TOKENS = 2_000_000
 #: Texts are encoded together until they have so many characters.
@@ -153,7 +153,7 @@ class _Numbered(dict):
 
 @lru_cache(1)
 def encoder_of(vocabulary: str) -> WordEncoder:
-    """One for a Python worker, which runs many tasks."""
+    """One for a Python worker, which runs many tasks. Tasks that read shards let it go: its words take much memory."""
     return WordEncoder(vocabulary)
 
 
@@ -334,6 +334,7 @@ def read_shards(starts: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of each document, decoded from the shard files."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder_of.cache_clear()
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 docs, ends, wm = unpack_shard(read_file(path))
@@ -357,6 +358,7 @@ def digests(starts: DataFrame) -> DataFrame:
     """Per document: doc_id, start, n_tokens, ids_crc32; the ids stay in the task that reads them."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder_of.cache_clear()
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 docs, ends, wm = unpack_shard(read_file(path))

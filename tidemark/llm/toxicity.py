@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import slices, texts_of
 
 FIT_ROWS = 30_000
 STEM = 5
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
         return seed
     share = min(1.0, rows / total)
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    train = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id").select("text", "toxic")
+    train = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known.limit(2 * rows)), "doc_id").select("text", "toxic")  # bounded
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([("entry", pa.string()), ("signature", pa.int64()), ("n", pa.int64())])
@@ -201,7 +201,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, extra: list[str] | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
         automaton, (b0, b1, b2) = lexicon.automaton(), lexicon.logistic
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             f = np.array([features(t, automaton) for t in texts_of(b.column(1))], dtype=np.float64).reshape(-1, 3)
             score = 1 / (1 + np.exp(-np.clip(b0 + b1 * f[:, 0] + b2 * f[:, 1], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(f[:, 2].astype(np.int64)), pa.array(f[:, 0]), pa.array(f[:, 1]), *b.columns[2:]], names=["doc_id", "score", "hits", "x1", "x2", *extra])
@@ -224,7 +224,7 @@ def clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
         automaton, (b0, b1, b2) = lexicon.automaton(), lexicon.logistic
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, place)):
             f = np.array([features(t, automaton) for t in texts_of(b.column(place).cast(pa.string()))], dtype=np.float64).reshape(-1, 3)
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(b0 + b1 * f[:, 0] + b2 * f[:, 1], -30, 30))) < threshold))
 

@@ -32,6 +32,30 @@ def example_queries(scopes: DataFrame) -> DataFrame:
     return scopes.where((F.col("kind") == "db.query") & counted & F.col("scope_id").isNotNull()).groupBy("context", "run", "scope_id").agg(F.sum("count").alias("queries"))
 
 
+def dispatch(counts: DataFrame, classes: DataFrame, runs: DataFrame, requests: DataFrame, queries: DataFrame, gaps: DataFrame, errors: DataFrame) -> DataFrame:
+    """context, run, behavior, class, kind, measure, current, confidence: what each behavior's class lets its numbers say.
+
+    All classes may be new or gone. Requests take their count and their queries, examples their errors and the queries
+    attributed to them, the others their count. An example's queries say nothing in a run where gaps names it or one of
+    its baseline: queries were cut there, or stayed without a scope.
+
+    counts: context, run, behavior, count; classes: context, behavior, class; requests: as counts, with queries; queries:
+    example_queries() with behavior for scope_id; gaps: context, run; errors: compare.errors() of behavior.
+    """
+    known = classes.where("class is not null")
+    of = lambda rows, *names: rows.join(known.where(F.col("class").isin(*names)) if names else known, ["context", "behavior"])
+    said = lambda rows, measure: rows.select("context", "run", "behavior", "class", "kind", F.lit(measure).alias("measure"), "current", "confidence")
+    counted = compare.wide(of(counts, "request", "sql", "stderr", "output", "outside").drop("class"), runs, ["behavior"])
+    seen = compare.wide(of(counts).drop("class"), runs, ["behavior"])
+    made = of(counts, "example").join(queries, ["context", "run", "behavior"], "left").withColumn("queries", F.coalesce("queries", F.lit(0)))
+    loose = compare.wide(gaps.distinct().withColumn("one", F.lit(1)), runs, [], "one").select("context", "run")
+    by_example = compare.frequency(compare.wide(made, runs, ["behavior"], "queries"), ["behavior"]).join(loose, ["context", "run"], "left_anti")
+    by_request = compare.frequency(compare.wide(of(requests, "request").drop("class"), runs, ["behavior"], "queries"), ["behavior"])
+    failed = of(errors, "example").select("context", "run", "behavior", "class", F.lit("error").alias("kind"), F.lit("errors").alias("measure"), F.col("current").cast("double").alias("current"), "confidence")
+    out = said(of(compare.presence(seen, ["behavior"])), "count").unionByName(said(of(compare.frequency(counted, ["behavior"])), "count"))
+    return out.unionByName(said(of(by_example), "queries")).unionByName(said(of(by_request), "queries")).unionByName(failed)
+
+
 def owners(scopes: DataFrame, runs: DataFrame, behavior: Sequence[str], scope: str = "scope_id", value: str = "count") -> DataFrame:
     """context, run, behavior columns, owner, owner_current, owner_median: where exactly one scope's own value left its median.
 

@@ -80,11 +80,3 @@ def context_rollup(runs: DataFrame) -> DataFrame:
         F.count("*").alias("runs"), F.count_if("has_stats").alias("with_stats"), F.count_if("has_evidence").alias("with_evidence"),
         F.min("run").alias("first_run"), F.max("run").alias("last_run"), F.min("started").alias("first_started"), F.max("started").alias("last_started"),
     )
-
-
-def neighbour_context(runs: DataFrame, words: str = "words") -> DataFrame:
-    """For each context, the other one whose words it shares most of; runs: context and an array of words of its command."""
-    long = runs.select("context", F.explode(F.array_distinct(words)).alias("word")).distinct()
-    # contexts meet by a word; a word of many contexts says nothing, so the rarest that all of a pair share decide
-    pairs = long.alias("a").join(long.alias("b"), "word").where("a.context <> b.context").groupBy("a.context", F.col("b.context").alias("other")).agg(F.count("*").alias("shared"))
-    return pairs.groupBy("context").agg(F.max_by("other", F.struct("shared", "other")).alias("neighbour"), F.max("shared").alias("shared"))

@@ -77,3 +77,16 @@ def scoped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = e.groupBy("context", "run", "event_type").agg(F.count("*").alias("count"))
     scopes = e.where("user_id < 3").groupBy("context", "run", "event_type", F.col("user_id").alias("scope_id")).agg(F.count("*").alias("count"))
     return reads.scoped(totals, scopes, ["event_type"]).drop("context")
+
+
+@query(
+    DAYS
+    + """SELECT run, event_type, user_id AS scope_id, CAST(count(*) AS DOUBLE) AS count FROM e WHERE user_id IS NOT NULL GROUP BY ALL
+UNION ALL SELECT run, event_type, NULL, CAST(count(*) FILTER (WHERE user_id IS NULL) AS DOUBLE) FROM e GROUP BY ALL"""
+)
+def scoped_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user as a scope; events without one are what no scope accounts for."""
+    e = day_events(spark, sf_dir)
+    totals = e.groupBy("context", "run", "event_type").agg(F.count("*").alias("count"))
+    scopes = e.groupBy("context", "run", "event_type", F.col("user_id").alias("scope_id")).agg(F.count("*").alias("count"))
+    return reads.scoped(totals, scopes, ["event_type"]).drop("context")

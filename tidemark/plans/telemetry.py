@@ -473,6 +473,24 @@ def signal_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners(scopes, day_runs(e), ["event_type"]).drop("context")
 
 
+@query(
+    DAYS
+    + """, a AS (SELECT r.ord, event_type, user_id, CAST(count(*) AS DOUBLE) AS v FROM e JOIN r USING (run) GROUP BY ALL),
+k AS (SELECT DISTINCT c.ord, event_type, user_id FROM r c JOIN a ON a.ord BETWEEN c.ord - 10 AND c.ord WHERE c.ord > 1),
+v AS (SELECT k.*, coalesce(a.v, 0.0) AS v FROM k JOIN r b ON b.ord BETWEEN k.ord - 10 AND k.ord - 1 LEFT JOIN a ON a.ord = b.ord AND a.event_type = k.event_type AND a.user_id IS NOT DISTINCT FROM k.user_id),
+m AS (SELECT ord, event_type, user_id, median(v) AS middle FROM v GROUP BY ALL),
+o AS (SELECT m.*, coalesce(a.v, 0.0) AS own FROM m LEFT JOIN a ON a.ord = m.ord AND a.event_type = m.event_type AND a.user_id IS NOT DISTINCT FROM m.user_id WHERE coalesce(a.v, 0.0) <> middle)
+SELECT run, user_id, max(event_type) AS owner, max(own) AS owner_current, max(middle) AS owner_median FROM o JOIN r USING (ord) GROUP BY run, user_id HAVING count(*) = 1"""
+)
+def signal_owners_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as the scopes of a user, over all rows."""
+    from ..operators.detect import owners
+
+    e = day_events(spark, sf_dir)
+    scopes = e.groupBy("context", "run", "user_id", F.col("event_type").alias("scope_id")).agg(F.count("*").alias("count"))
+    return owners(scopes, day_runs(e), ["user_id"]).drop("context")
+
+
 @query(
     DAYS
     + """, a AS (SELECT r.ord, user_id, event_type FROM e JOIN r USING (run) GROUP BY ALL),

@@ -228,6 +228,15 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0 and warc.archive(pages.where("page_id = 6").union(pages.where("page_id = 6"))).where("record_type = 'response'").count() == 2
 
 
+def test_warc_page_fetched_again(spark):
+    one, two, three = ("<p>" + prose(300) for _ in range(3))
+    html = [(1, one), (1, two), (1, three), (2, one), (3, three)]
+    pages = spark.createDataFrame([(i, f"http://e.org/{i}", h) for i, h in html], "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive(pages).collect()), key=str)
+    sha = lambda h: hashlib.sha1(h.encode()).hexdigest()
+    assert got == sorted([(1, sha(one), "revisit", 2), (1, sha(two), "response", None), (1, sha(three), "revisit", 3), (2, sha(one), "response", None), (3, sha(three), "response", None)], key=str)
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(5)
     base = r.standard_normal((30, 16))

@@ -7,9 +7,9 @@ response carries its payload; a revisit (identical-payload-digest) carries none
 Of records with equal payloads of at least min_bytes, the one with the largest id is the response.
 
 Cases: null html is an empty payload; a null url gives no WARC-Target-URI; rows that repeat a page_id are each
-written, and those with an equal large payload too are responses all (none refers to itself); an empty table gives no
-file and no rows; other columns are ignored; a null page_id stays null
-and is a response.
+written and judged by their own payloads, and those with an equal large payload too are responses all (none refers to
+itself); where a page_id repeats with different payloads, a revisit's digest tells which of its records is meant; an
+empty table gives no file and no rows; other columns are ignored; a null page_id stays null and is a response.
 """
 
 from __future__ import annotations
@@ -77,10 +77,10 @@ def parse(data: bytes) -> dict:
 
 
 def decisions(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(page_id, digest, refers_to): thin rows only; a payload of any number of records is summed before it is shuffled."""
+    """(page_id, digest, n, refers_to): thin rows only; a payload of any number of records is summed before it is shuffled."""
     thin = pages.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("n")).where(F.col("n") >= min_bytes)
     last = thin.groupBy("digest", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("k")).where("k > 1")
-    return thin.join(last, ["digest", "n"]).where("page_id < last").select("page_id", F.col("last").alias("refers_to")).distinct()
+    return thin.join(last, ["digest", "n"]).where("page_id < last").select("page_id", "digest", "n", F.col("last").alias("refers_to")).distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000) -> DataFrame:
@@ -113,7 +113,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000) -> Data
         if held:
             yield close()
 
-    decided = rows.join(decisions(rows, min_bytes), "page_id", "left").select("page_id", "url", "payload", "refers_to")
+    keyed = rows.withColumns({"digest": F.sha1("payload"), "n": F.length("payload")})
+    decided = keyed.join(decisions(rows, min_bytes), ["page_id", "digest", "n"], "left").select("page_id", "url", "payload", "refers_to")
     return materialise(decided.mapInArrow(write, "path string, n_records long"), "warc-manifest")
 
 

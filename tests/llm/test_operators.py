@@ -183,6 +183,40 @@ def test_site_quality(spark):
     assert all(abs(r["evidence"] - 0.5) < 1e-12 for r in quality.evidence(d, none).collect()) and quality.evidence(docs(spark, []), none).count() == 0
 
 
+def test_every_page_of_a_document_counts(spark):
+    shows = {1: [("a", "x"), ("b", "x")], 2: [("a", "x"), ("a", "y"), ("a", "x")], 3: [("b", "x")], 4: [("b", "z")], 5: [], 6: [("a", "y"), ("b", "z")]}
+    p = {1: 0.9, 2: 0.8, 3: 0.1, 4: 0.2, 5: 0.6, 6: 0.5}
+    d = docs(spark, [(i, "t") for i in shows])
+    pages = spark.createDataFrame([(k, f"http://{h}/{s}/{i}", "") for i, at in shows.items() for k, (h, s) in enumerate(at)], "page_id long, url string, html string")
+    evidence = spark.createDataFrame([*p.items(), (3, p[3])], "doc_id long, evidence double")  # document 3 stands twice
+    got = quality.combine(evidence, quality.sites(d, pages)).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 3, 4, 5, 6] and len(quality.sites(d, pages).collect()) == 9
+
+    sites = {i: {(h, f"{h}/{s}") for h, s in at} or {("s1", "s1/en")} for i, at in shows.items()}
+    paths, hosts, every = {}, {}, [*p.items(), (3, p[3])]
+    for i, e in every:
+        for s in sites[i]:
+            paths.setdefault(s, []).append(e)
+        for h in {h for h, _ in sites[i]}:
+            hosts.setdefault(h, []).append(e)
+
+    def strength(groups):
+        n, s, k = sum(map(len, groups)), sum(map(sum, groups)), len(groups)
+        m, q, n2 = s / n, sum(sum(g) ** 2 / len(g) for g in groups), sum(len(g) ** 2 for g in groups)
+        spread = (q - n * m * m - (k - 1) * m * (1 - m)) / (n - n2 / n)
+        return min(max(m * (1 - m) / spread - 1, 1.0), 1000.0) if spread > 0 else 1000.0
+
+    a, b, prior = strength(list(hosts.values())), strength(list(paths.values())), sum(e for _, e in every) / len(every)
+    odds = lambda x: np.log(x / (1 - x))
+    for r in got:
+        e, rates = p[r["doc_id"]], []
+        for s in sites[r["doc_id"]]:
+            host = (sum(hosts[s[0]]) - e + a * prior) / (len(hosts[s[0]]) - 1 + a)
+            rates.append((sum(paths[s]) - e + b * host) / (len(paths[s]) - 1 + b))
+        want = odds(e) + np.mean([odds(x) for x in rates]) - odds(prior)
+        assert abs(r["score"] - 1 / (1 + np.exp(-want))) < 1e-9 and (r["host"], r["path"]) == min(sites[r["doc_id"]])
+
+
 def test_licenses(spark):
     texts = [*EDGES, "Released Under the MIT-License. under the mit license", "Apache License, Version 2.0; CC BY-NC", "Licnsed under the Apache Licence Version 2.0", "Redistribution and use in source and binary form, with or without modificatons, are permited", "ＣＣ by nc", LONG + " cc-by_nc cc by nc"]
     got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}

@@ -2,14 +2,15 @@
 
 A classifier gives each document a probability of good quality from the shape of its text: an additive logistic over
 binned features, fitted on labelled rows. Hosts and paths (a host with the first segment of its path) gather these
-probabilities by grouped sums over all documents. A host's rate is shrunk toward the corpus's, a path's toward its
+probabilities by grouped sums over all documents; a document counts once with each host and each path that shows it. A host's rate is shrunk toward the corpus's, a path's toward its
 host's; how strongly follows from how much sites differ (by moments), so sparse sites stay near their prior. A
 document's own share is taken out of its path's and host's sums before they judge it. In log-odds, the result is
 
     evidence + path posterior - corpus prior
 
-Sites come from pages: the last number in a page's URL is the document it shows. A document without a page counts with
-its source as host and its language as path.
+Sites come from pages: the last number in a page's URL is the document it shows. The posterior of a document on several
+paths is the mean of theirs, in log-odds; so are the rates in its row, which names the least of its hosts and paths. The
+corpus's rate counts each document once. A document without a page counts with its source as host and its language as path.
 
 Cases: null and empty texts are scored by their features, all 0; a null host or path is a site of its own; labels that
 are null don't train, and those that repeat for a document count as good if any is; with no labels, or of one kind only,
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import texts_of
@@ -117,11 +118,11 @@ def evidence(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def sites(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, host, path): one row an id; of several pages of a document, the one of the least host and path."""
+    """(doc_id, host, path): a row for each host and path whose pages show the document, each once; at least one row an id."""
     url = F.regexp_replace(F.col("url").cast("string"), r"[?#].*$", "")
     host = F.lower(F.regexp_extract(url, r"^[a-z]+://([^/]+)", 1))
     seen = pages.select(F.regexp_extract(url, r"/(\d+)[^/]*/?$", 1).try_cast("long").alias("doc_id"), host.alias("host"), F.concat(host, F.lit("/"), F.regexp_extract(url, r"^[a-z]+://[^/]+/([^/]*)", 1)).alias("path"))
-    shown = seen.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("host", "path")).alias("s"))
+    shown = seen.where(F.col("doc_id").isNotNull()).distinct().select("doc_id", F.struct("host", "path").alias("s"))
     every = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.struct(F.coalesce(F.col("source").cast("string"), F.lit("?")).alias("host"), F.concat_ws("/", F.coalesce(F.col("source").cast("string"), F.lit("?")), F.coalesce(F.col("lang").cast("string"), F.lit("?"))).alias("path"))).alias("own"))
     chosen = F.coalesce("s", "own")
     return every.join(shown, "doc_id", "left").select("doc_id", chosen["host"].alias("host"), chosen["path"].alias("path"))
@@ -129,18 +130,27 @@ def sites(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def combine(evidence: DataFrame, sites: DataFrame, keep: float = KEEP) -> DataFrame:
     """doc_id, host, path, evidence, host_rate, path_rate, score and keep (score of at least keep) of each document."""
-    rows = evidence.join(sites, "doc_id", "left").select("doc_id", F.coalesce("host", F.lit("?")).alias("host"), F.coalesce("path", F.lit("?")).alias("path"), "evidence")
-    by_path = rows.groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum("evidence").alias("s_path"))
-    by_host = by_path.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"))
+    order = Window.partitionBy("doc_id").orderBy("host", "path")
+    # of a document's sites, the first of each host counts for the host, the first of all for the corpus
+    placed = sites.withColumns({"first": F.row_number().over(order) == 1, "new_host": ~F.col("host").eqNullSafe(F.lag("host").over(order))})
+    placed = placed.select("doc_id", "host", "path", "first", (F.col("first") | F.col("new_host")).alias("of_host"))
+    rows = evidence.join(placed, "doc_id", "left").select("doc_id", F.coalesce("host", F.lit("?")).alias("host"), F.coalesce("path", F.lit("?")).alias("path"), "evidence", F.coalesce("first", F.lit(True)).alias("first"), F.coalesce("of_host", F.lit(True)).alias("of_host"))
+    total = lambda flag: F.sum(F.when(F.col(flag), F.col("evidence")).otherwise(0.0))
+    by_path = rows.groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum("evidence").alias("s_path"), F.count_if("of_host").alias("n_of"), total("of_host").alias("s_of"), F.count_if("first").alias("n_first"), total("first").alias("s_first"))
+    by_host = by_path.groupBy("host").agg(F.sum("n_of").alias("n_host"), F.sum("s_of").alias("s_host"), F.sum("n_first").alias("n_first"), F.sum("s_first").alias("s_first"))
     host_strength, prior = _strength(by_host, "n_host", "s_host")
     path_strength, _ = _strength(by_path, "n_path", "s_path")
-    full = rows.join(by_path.join(by_host, "host"), ["host", "path"])
+    full = rows.join(by_path.select("host", "path", "n_path", "s_path").join(by_host.select("host", "n_host", "s_host"), "host"), ["host", "path"])
     own, n = F.col("evidence"), lambda c: F.col(c).cast("double")
     full = full.withColumn("host_rate", (F.col("s_host") - own + host_strength * prior) / (n("n_host") - 1 + host_strength))
     full = full.withColumn("path_rate", (F.col("s_path") - own + path_strength * F.col("host_rate")) / (n("n_path") - 1 + path_strength))
     odds = lambda p: F.log(_inside(p) / (1 - _inside(p)))
-    full = full.withColumn("score", 1 / (1 + F.exp(-(odds(own) + odds(F.col("path_rate")) - odds(F.lit(prior))))))
-    return full.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= keep).alias("keep"))
+    # documents of one id and equal evidence have the same sites, so their rows are made once and repeated
+    mean = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(1 / (1 + F.exp(-F.avg(odds(F.col(c))))))
+    one = full.groupBy("doc_id", "evidence").agg(F.min(F.struct("host", "path")).alias("s"), mean("host_rate").alias("host_rate"), mean("path_rate").alias("path_rate"), F.count_if("first").alias("rows"))
+    one = one.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    one = one.withColumn("score", 1 / (1 + F.exp(-(odds(own) + odds(F.col("path_rate")) - odds(F.lit(prior))))))
+    return one.select("doc_id", "s.host", "s.path", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= keep).alias("keep"))
 
 
 def _inside(p):
@@ -148,12 +158,12 @@ def _inside(p):
 
 
 def _strength(groups: DataFrame, n: str, s: str) -> tuple[float, float]:
-    """(documents that a prior weighs, the mean rate), by moments of the groups' rates; from sums only."""
+    """(documents that a prior weighs, the corpus's rate), by moments of the groups' rates; from sums only."""
     n, s = F.col(n).cast("double"), F.col(s)
-    row = groups.agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(s * s / n).alias("q"), F.sum(n * n).alias("n2"), F.count("*").alias("k")).collect()[0]
+    row = groups.agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(s * s / n).alias("q"), F.sum(n * n).alias("n2"), F.count("*").alias("k"), F.sum("n_first").alias("n_first"), F.sum("s_first").alias("s_first")).collect()[0]
     if not row["n"]:
         return 1.0, 0.5
     mean = min(max(row["s"] / row["n"], 1e-6), 1 - 1e-6)
     within = mean * (1 - mean)
     spread = (row["q"] - row["n"] * mean * mean - (row["k"] - 1) * within) / max(1e-9, row["n"] - row["n2"] / row["n"])
-    return (min(max(within / spread - 1, 1.0), 1000.0) if spread > 0 else 1000.0), mean
+    return (min(max(within / spread - 1, 1.0), 1000.0) if spread > 0 else 1000.0), min(max(row["s_first"] / row["n_first"], 1e-6), 1 - 1e-6)

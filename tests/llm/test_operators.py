@@ -249,6 +249,17 @@ def test_secrets(spark):
     assert f"token:{at}:{at + 40}" in got[6]["spans"] and "token" not in got[10]["spans"] + got[11]["spans"] and secrets.scan(docs(spark, []), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_secrets_without_digits():
+    import public_tokenizers
+
+    test = secrets.TokenTest(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, secrets.RATIO)
+    r = random.Random(8)
+    keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n)) for n in (20, 24, 32, 40)]
+    assert all(map(test, keys)) and test(f"{keys[0]}-{keys[1]}")
+    words = ["xkqzvwjyhgbtrpdlmnfc", "XKQZVWJYHGBTRPDLMNFC", "Xkqzvwjyhgbtrpdlmnfc", "12345678901234567890", "getTheNextElementOfTheList", "snake_case_identifier_of_many_words_12", "d41d8cd98f00b204e9800998ecf8427e"]
+    assert not any(map(test, words))
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + prose(300)
     html = [(0, big), (1, big), (2, None), (3, ""), (4, "short"), (5, "short"), (6, big), (7, LONG * 3), (None, big + "x")]

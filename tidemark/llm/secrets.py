@@ -3,8 +3,8 @@
 The base has three kinds, matched from the left without overlap: assign (a value given to a name like password), access
 (AKIA keys) and hex (long runs of hexadecimal digits). The method adds kind token: strings of at least LEAST characters
 that a tiktoken vocabulary needs many tokens for, at most RATIO characters a token, since its merges were learned from
-words. Left out are strings of one class of characters, hexadecimal digests of known lengths, UUIDs, words joined
-by signs, and whatever overlaps a base span.
+words. Left out are strings of digits or of letters of one case (or with a first capital), what signs join of such
+parts, hexadecimal digests of known lengths, UUIDs, and whatever overlaps a base span. Letters of mixed cases are tested.
 
 Whole texts are looked through for long runs of such characters and for the names first, with numpy and plain search;
 only texts that hold one go on to the patterns. Places are code points, ends exclusive.
@@ -46,6 +46,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in LONG_HEX.finditer(text)]  # a run is matched whole, so this is the same
 
 
+def _wordlike(part: str) -> bool:
+    """Letters of one case, or a capital before small ones; letters of mixed cases may be a key."""
+    return part.isalpha() and (part[1:].islower() or part.islower() or part.isupper())
+
+
 class TokenTest:
     """Whether a string looks random to a vocabulary: few characters a token."""
 
@@ -57,9 +62,9 @@ class TokenTest:
         self.encoding, self.ratio = tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ratio
 
     def __call__(self, s: str) -> bool:
-        if len(s) < LEAST or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+        if len(s) < LEAST or not any(c.isalpha() for c in s) or DIGEST.fullmatch(s) or UUID.fullmatch(s):
             return False
-        if DIGEST.fullmatch(s) or UUID.fullmatch(s) or all(p.isalpha() or p.isdigit() for p in re.split(r"[+/_=-]+", s) if p):
+        if all(p.isdigit() or _wordlike(p) for p in re.split(r"[+/_=-]+", s) if p):
             return False
         return len(s) <= self.ratio * len(self.encoding.encode_ordinary(s))
 

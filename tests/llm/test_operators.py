@@ -229,6 +229,15 @@ def test_licenses(spark):
     assert all(got[i]["score"] == 0 and got[i]["labels"] == [] for i in range(6)) and licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_edited_notices_before_a_better_one():
+    find = licenses.Notices({"under the mit license": "mit"})
+    edited, exact = "under the mit licence", "under the mit license"
+    for parts in ([edited, exact], [edited, edited, exact, edited], [exact, edited]):
+        got = find(" ".join(parts))
+        assert [x[3] for x in got] == [int(p == edited) for p in parts]
+        assert all(abs(x[1] - 22 * i) <= 1 and abs(x[2] - (22 * i + 21)) <= 1 for i, x in enumerate(got))
+
+
 def test_secrets(spark):
     key = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(40))
     texts = [*EDGES, f"é PassWord = 'hunter2' then {key} ſecret=abcdef1", "secret: token: abc password=abcdefg", "AKIA" + "B7" * 8 + " AKIAXY " + "0a" * 12, "d41d8cd98f00b204e9800998ecf8427e", "6513270e-269e-0d37-f2a7-4de452e6b438", "snake_case_identifier_of_many_words_12", LONG + " api_key=zzzzzz", "\x1f API-KEY: no apiKEY:'yes-yes'"]

@@ -98,8 +98,12 @@ class Notices:
         for n, spans in windows.items():
             text, label, _, pattern = self.items[n]
             for low, high in spans:
-                for m in pattern.finditer(words, low, min(high, len(words))):
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)))
+                parts = [(low, min(high, len(words)))]
+                while parts:  # the best match of a part, then what stands before and after it
+                    a, b = parts.pop()
+                    if m := pattern.search(words, a, b):
+                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)))
+                        parts += [(a, m.start()), (m.end(), b)]
         kept = []  # of spans that overlap, the one with the least share of edits
         for x in sorted(set(out), key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):
             if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import BROADCAST_BYTES, discard, materialise
+
+#: Parts of the nodes of one label, where labels are too many to broadcast.
+PARTS = 32
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,13 +22,25 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = labels.withColumnRenamed("node", "b")
         spread = both.join(seen, "b").select(F.col("a").alias("node"), "label").union(labels.select("node", "label"))
-        least = spread.groupBy("node").agg(F.min("label").alias("label"))
-        # the label of the label: roots are few, so they are summed up before the join
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        after = materialise(least.join(roots, "label").select("node", F.least("label", "root").alias("label")), "labels")
+        least = materialise(spread.groupBy("node").agg(F.min("label").alias("label")), "labels")
+        # labels that have a smaller one themselves: one row each, so a component of any size is one row here
+        root = labels.select(F.col("node").alias("label"), F.col("label").alias("root")).where("root < label")
+        stale = materialise(least.select("label").distinct().join(root, "label"), "stale-labels")
+        after = materialise(_renamed(least, stale), "labels")
         moved = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
-        discard(labels)
+        discard(labels, least, stale)
         labels = after
         if not moved:
             discard(both)
             return labels
+
+
+def _renamed(labels: DataFrame, stale: DataFrame) -> DataFrame:
+    """labels with the roots of stale ones in their place. Many nodes may have one label: few stale ones go to all tasks,
+    many are repeated for each of some parts of the nodes."""
+    new = F.coalesce("root", "label").alias("label")
+    if stale.count() * 16 <= BROADCAST_BYTES:
+        return labels.join(F.broadcast(stale), "label", "left").select("node", new)
+    parts = labels.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+    each = stale.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return parts.join(each, ["label", "part"], "left").select("node", new)

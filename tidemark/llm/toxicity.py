@@ -33,8 +33,6 @@ from .common import slices, texts_of
 
 FIT_ROWS = 30_000
 STEM = 5
-#: Entries of the fitted lexicon, the heaviest first.
-MOST_ENTRIES = 20_000
 THRESHOLD = 0.7
 
 # Letters of other scripts that look like Latin ones, and digits and signs put for letters.
@@ -166,13 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
         tallies.unpersist()
         return seed
     t_all, c_all, tested = float(sums[0]["toxic"]), float(sums[0]["clean"]), max(2, tallies.count())
-    # a bounded number of entries, those of the strongest evidence
+    # every entry that the evidence speaks for; the bounded rows bound them
     t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     odds = F.log(((t + 0.5) / (t_all + 1)) / ((c + 0.5) / (c_all + 1)))
     mean_t, mean_c = (t + c) * t_all / (t_all + c_all), (t + c) * c_all / (t_all + c_all)
     ratio = t * F.log(t / mean_t) + F.when(c > 0, c * F.log(c / mean_c)).otherwise(0.0)
     best = tallies.where("entry <> ''").select("entry", odds.alias("w"), ratio.alias("evidence")).where((F.col("w") > 2.0) & (F.col("evidence") > math.log(tested) + 3.0))
-    weights = {r["entry"]: r["w"] for r in best.orderBy(F.desc("evidence"), "entry").limit(MOST_ENTRIES).collect()}
+    weights = {r["entry"]: r["w"] for r in best.collect()}
     tallies.unpersist()
     lexicon = Lexicon(seed.weights | weights)
     points = scored(train.select(F.lit(0).cast("long").alias("doc_id"), "text", "toxic"), lexicon, ["toxic"]).groupBy(F.round("x1", 2).alias("x1"), F.round("x2", 2).alias("x2"), "toxic").count()

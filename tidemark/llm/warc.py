@@ -126,22 +126,16 @@ def read_records(path: str) -> Iterator[bytes]:
         if magic != DICT_FRAME:
             raise ValueError(f"{path}: no dictionary frame")
         dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(f.read(size)))
-        expand, rest = zstandard.ZstdDecompressor(dict_data=dictionary), b""
+        expand = zstandard.ZstdDecompressor(dict_data=dictionary)
+        frame, parts = expand.decompressobj(), []
         while chunk := f.read(1 << 20):
-            rest += chunk
-            while rest:
-                one, done = expand.decompressobj(), False
-                try:
-                    data = one.decompress(rest)
-                    done = one.eof
-                except zstandard.ZstdError:
-                    if len(rest) > 18:  # longer than any frame header, so not for want of bytes
-                        raise
-                if not done:
+            while chunk:  # a frame takes what is its own and leaves the rest
+                parts.append(frame.decompress(chunk))
+                if not frame.eof:
                     break
-                yield data
-                rest = one.unused_data
-        if rest:
+                yield b"".join(parts)
+                chunk, frame, parts = frame.unused_data, expand.decompressobj(), []
+        if parts:
             raise ValueError(f"{path}: ends within a record")
 
 

@@ -8,35 +8,50 @@ dealt over the cluster and sorted by a hash of (seed, id, copy), which shuffles
 Weights come from the caller, or by temperature: a source's share is n ** alpha, over the sum of all. Sources without a
 weight, null among them under its own name, are left out when weights are given, and so take no part in the total.
 
-Cases: null texts are repeated like others; rows that repeat a doc_id get the same count each; an empty table gives no
-rows; columns of the documents named like those added here are replaced by them.
+Cases: null texts are repeated like others; rows that repeat a doc_id get the same count each; a null doc_id is drawn for
+by a hash of the text, so such rows are dealt like others; an empty table gives no rows; columns of the documents named
+like those added here are replaced by them.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A rates table of at most so many sources goes to all tasks (some hundred bytes each); a larger one is joined by a shuffle.
-BROADCAST_SOURCES = 50_000
+from .common import BROADCAST_BYTES
+
+#: Parts of a source's documents, where sources are too many to broadcast.
+PARTS = 32
 NO_SOURCE = "\x00none"
 
 
-def poisson_steps(mean: float) -> list[float]:
-    """The distribution function at 0, 1, ... until it is 1 within double precision."""
+@lru_cache(1_000)
+def poisson_steps(mean: float) -> tuple[int, np.ndarray]:
+    """(first, the distribution function at first, first + 1, ...) over all counts that matter in double precision.
+
+    Counts from the mode down and up, 12 deviations and some: what lies outside weighs less than 1e-16.
+    """
     if mean <= 0 or not math.isfinite(mean):
-        return []
-    out, total, k = [], 0.0, 0
-    while k <= mean or 1.0 - total > 1e-15:
-        term = math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
-        if k > mean and term < 1e-18:
-            break
-        total += term
-        out.append(min(total, 1.0))
-        k += 1
+        return 0, np.zeros(0)
+    reach = 12 * math.sqrt(mean) + 40
+    first = max(0, int(mean - reach))
+    k = range(first, int(mean + reach) + 1)
+    return first, np.minimum(np.cumsum([math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in k]), 1.0)
+
+
+def counts(means: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How many steps of each mean's distribution function are at most u: the inverse of the Poisson distribution."""
+    out = np.zeros(len(u), dtype=np.int32)
+    for mean in np.unique(means):
+        at = means == mean
+        first, steps = poisson_steps(float(mean))
+        out[at] = np.where(len(steps) > 0, first + np.searchsorted(steps, u[at], side="right"), 0)
     return out
 
 
@@ -47,7 +62,7 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, size: float = 1.0) -> DataFrame:
-    """(source, n, rate, steps) of each source: a row a source, from partial counts. size: total copies, over documents."""
+    """(source_key, n, rate) of each source: a row a source, from partial counts. size: total copies, over documents."""
     n = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source_key")).agg(F.count("*").alias("n"))
     if weights is None:
         share = n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(alpha))))
@@ -56,25 +71,29 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
         share = n.join(given, "source_key")
     whole = share.agg(F.sum("w").alias("w_all"), F.sum("n").alias("n_all"))
     mean = (F.col("w") / F.col("w_all")) * F.col("n_all") * F.lit(float(size)) / F.col("n")
+    return share.join(F.broadcast(whole)).select("source_key", "n", mean.alias("rate"))  # whole is one row
 
-    @F.pandas_udf("array<double>")
-    def steps(mean: pd.Series) -> pd.Series:
-        return mean.map(poisson_steps)
 
-    return share.join(F.broadcast(whole)).select("source_key", "n", mean.alias("rate")).withColumn("steps", steps("rate"))
+@F.arrow_udf(T.IntegerType())
+def copies_of(rate: pa.Array, u: pa.Array) -> pa.Array:
+    return pa.array(counts(rate.to_numpy(zero_copy_only=False), u.to_numpy(zero_copy_only=False)))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, size: float = 1.0, seed: int = 17) -> DataFrame:
     """The documents, each as often as its count says, shuffled globally, with copy_ix, n_copies and shuffle_key."""
     columns = [c for c in docs.columns if c not in ("copy_ix", "n_copies", "shuffle_key")]
-    table = rates(docs, weights, alpha, size).select("source_key", "steps")
-    sources = table.count()
-    table = F.broadcast(table) if sources <= BROADCAST_SOURCES else table
-    keyed = docs.select(*columns, F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source_key"))
-    u = uniform(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    counted = keyed.join(table, "source_key").withColumn("_u", u).withColumn("n_copies", F.expr("size(filter(steps, s -> s <= _u))")).where("n_copies > 0")
+    table = rates(docs, weights, alpha, size).select("source_key", "rate")
+    # a row without an id is known by its text
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+    keyed = docs.select(*columns, F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source_key"), name.alias("_name"))
+    if (table.agg(F.sum(F.octet_length("source_key") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        rated = keyed.join(F.broadcast(table), "source_key")
+    else:  # a source of any size is dealt over some parts
+        each = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        rated = keyed.withColumn("_part", F.pmod(F.xxhash64("_name"), F.lit(PARTS))).join(each, ["source_key", "_part"])
+    counted = rated.withColumn("n_copies", copies_of("rate", uniform(seed, F.col("_name")))).where("n_copies > 0")
     copies = counted.withColumn("copy_ix", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_ix").cast("string")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.col("_name"), F.col("copy_ix").cast("string")).cast("binary"))
     dealt = copies.withColumn("shuffle_key", key).select(*columns, "copy_ix", "n_copies", "shuffle_key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")

@@ -82,11 +82,7 @@ FROM (SELECT c.*, unnest(range(0, n_copies)) AS copy_ix FROM c)
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what was found in it: contaminated, and the sorted ids of the items."""
-    docs = table(spark, sf_dir, "documents")
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    by_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.min("edits").alias("least_edits"))
-    out = docs.select("doc_id").join(by_doc, "doc_id", "left")
-    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), "least_edits")
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query

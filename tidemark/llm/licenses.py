@@ -4,7 +4,8 @@ Texts are folded to lower-case words (runs of ASCII letters and digits and of al
 one space between. The base finds where a phrase's words stand one after another. The search for notices allows each
 one an error budget of a twelfth of its length: cut into budget + 1 pieces, any text within the budget holds a piece
 unchanged, so an Aho-Corasick automaton of the pieces locates candidates; in a window around each, the regex library's
-bounded-error matching verifies the edits and gives the span. Of spans that overlap, the one with the least share of edits stays.
+bounded-error matching verifies the edits and gives the span. The words that tell a license from its kin (nc from nd, gnu
+general from gnu lesser) must stand in the span as they are. Of spans that overlap, the one with the least share of edits stays.
 
 Cases: null and empty texts have no words and no labels; a phrase counts at each of its places, also in texts that
 repeat; documents that repeat are reported each; an empty table gives no rows; other columns are ignored.
@@ -13,6 +14,7 @@ repeat; documents that repeat are reported each; an empty table gives no rows; o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,17 +31,40 @@ NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
     "licensed under the apache license version 2 0": "apache-2",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under cc by nd 4 0": "cc-by-nd",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
     "licensed under cc by sa 4 0": "cc-by-sa",
     "licensed under cc by 4 0": "cc-by",
     "creative commons attribution noncommercial 4 0": "cc-by-nc",
+    "creative commons attribution noderivatives 4 0": "cc-by-nd",
     "creative commons attribution sharealike 4 0": "cc-by-sa",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "under the terms of the gnu general public license": "gpl",
     "under the terms of the gnu lesser general public license": "lgpl",
+    "under the terms of the gnu affero general public license": "agpl",
     "under the terms of the mozilla public license": "mpl-2",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
+# Words that a notice's span must hold unedited, side by side; notices not named need none.
+EXACT = {
+    "under the mit license": ["mit"],
+    "licensed under the apache license version 2 0": ["apache", "version 2"],
+    "licensed under cc by nc 4 0": ["by nc"],
+    "licensed under cc by nd 4 0": ["by nd"],
+    "licensed under cc by nc sa 4 0": ["by nc sa"],
+    "licensed under cc by nc nd 4 0": ["by nc nd"],
+    "licensed under cc by sa 4 0": ["by sa"],
+    "licensed under cc by 4 0": ["cc by"],
+    "creative commons attribution noncommercial 4 0": ["noncommercial"],
+    "creative commons attribution noderivatives 4 0": ["noderivatives"],
+    "creative commons attribution sharealike 4 0": ["sharealike"],
+    "under the terms of the gnu general public license": ["gnu general"],
+    "under the terms of the gnu lesser general public license": ["lesser"],
+    "under the terms of the gnu affero general public license": ["affero"],
+    "under the terms of the mozilla public license": ["mozilla"],
+}
 EDIT_SHARE, LEAST_PIECE = 12, 7
 APART = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -79,10 +104,10 @@ class Notices:
         if seeds:
             self.automaton.make_automaton()
 
-    def __call__(self, words: str) -> list[tuple[str, int, int, int, int]]:
+    def found(self, words: str) -> set[tuple[str, int, int, int, int]]:
         """(label, start, end, edits, length of the notice) of each notice found, in folded characters."""
         if not self.items:
-            return []
+            return set()
         windows: dict[int, list[tuple[int, int]]] = {}
         for last, (size, uses) in self.automaton.iter(words):
             for n, at in uses:
@@ -94,21 +119,28 @@ class Notices:
                     spans[-1] = (min(low, spans[-1][0]), max(high, spans[-1][1]))
                 else:
                     spans.append((low, high))
-        out = []
+        out = set()
         for n, spans in windows.items():
             text, label, _, pattern = self.items[n]
+            exact = EXACT.get(text, [])
             for low, high in spans:
                 parts = [(low, min(high, len(words)))]
                 while parts:  # the best match of a part, then what stands before and after it
                     a, b = parts.pop()
                     if m := pattern.search(words, a, b):
-                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)))
+                        if all(f" {x} " in f" {m[0]} " for x in exact):
+                            out.add((label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)))
                         parts += [(a, m.start()), (m.end(), b)]
-        kept = []  # of spans that overlap, the one with the least share of edits
-        for x in sorted(set(out), key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):
-            if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
+        return out
+
+    def __call__(self, words: str) -> list[tuple[str, int, int, int, int]]:
+        """found(), in order, and of spans that overlap only the one with the least share of edits."""
+        kept: list[tuple[int, int, tuple]] = []
+        for x in sorted(self.found(words), key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):
+            at = bisect_left(kept, (x[1], x[2]))  # kept spans are apart, so only the two beside it can overlap
+            if (at == 0 or kept[at - 1][1] <= x[1]) and (at == len(kept) or x[2] <= kept[at][0]):
+                kept.insert(at, (x[1], x[2], x))
+        return [x for *_, x in kept]
 
 
 COLUMNS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans array<struct<label:string,start:long,end:long,edits:long>>"

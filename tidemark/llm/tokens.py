@@ -17,6 +17,7 @@ sorts first and is kept as null.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from array import array
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, new_path, read_file, texts_of, write_file
@@ -44,11 +45,16 @@ ENDINGS = ",."
 NULL_ID = -(1 << 63)
 
 
+#: Texts on which a tokenizer must treat words by themselves for their ids to be kept; with white space of all kinds.
+PROBE = ["one two", "a b.c, d", "It's  \n\tDon't", "x\ty\nz w", " lead trail ", "9 9,9. 9", "É é ab AB", "<s> [CLS] a", "日本 語 a"]
+
+
 class WordEncoder:
     """Encodes with a tokenizer that drops white space and never joins words over it: each word's ids are found once.
 
-    Words not seen yet go through the library's normalizer and pre-tokenizer together, and each new piece of them
-    through its model. Words with odd white space or special tokens are encoded by themselves.
+    Whether a tokenizer is such a one is tried on PROBE (and its parts: a normalizer, a pre-tokenizer and a model);
+    any other encodes whole texts. Words not seen yet go through the library's normalizer and pre-tokenizer together, and
+    each new piece of them through its model. Words with odd white space or special tokens are encoded by themselves.
     """
 
     def __init__(self, vocabulary: str):
@@ -57,6 +63,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        alone = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        parts = self.tokenizer.normalizer is not None and self.tokenizer.pre_tokenizer is not None
+        self.by_word = parts and all(alone(t) == [i for w in re.split("[ \\n\\t]", t) if w for i in alone(w)] for t in PROBE)
+        if not self.by_word:
+            return
         normal, split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.lowers = normal("AZ") == "az"
         # whether a comma or full stop after letters is a piece of its own
@@ -107,6 +118,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, end of each text among them)."""
+        if not self.by_word:
+            rows = [[*e.ids, end] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.fromiter((i for r in rows for i in r), np.uint32, sum(map(len, rows))), np.cumsum([len(r) for r in rows])
         if self.index.n > KEPT_WORDS:
             self.clear()
         find, which, sizes = self.index.__getitem__, [], np.zeros(len(texts), dtype=np.int64)
@@ -273,10 +287,10 @@ def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long"
 
 
-def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str, shard_tokens: int = SHARD_TOKENS, order: list[Column] | None = None) -> DataFrame:
     """Encodes docs (doc_id, text) in ascending doc_id order into shard files under folder; returns the manifest, written.
 
-    Ranges of doc_id go to one task each; a task streams its rows and closes a shard at shard_tokens, so memory is
+    order: columns to go by instead, which no two rows should share. Ranges of the order go to one task each; a task streams its rows and closes a shard at shard_tokens, so memory is
     bounded by a shard and the longest document. A lost task writes its files again under other names; only the names
     of tasks that ended are in the manifest.
     """
@@ -311,14 +325,20 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
         if docs:
             yield close()
 
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # equal ids are spread by a hash of the text, so that no single id makes a task of its own
-    ordered = thin.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    thin = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if order:
+        keyed = docs.select(*thin, F.struct(*order).alias("place"))
+        ordered = keyed.repartitionByRange("place").sortWithinPartitions("place").select("doc_id", "text")
+    else:
+        # equal ids are spread by a hash of the text, so that no single id makes a task of its own
+        by_id = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+        ordered = docs.select(*thin).repartitionByRange(*by_id).sortWithinPartitions(*by_id, "text")
     return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
-    """The manifest with the ids before each shard: sums by part first, so that only a row a part meets in one place."""
+    """The manifest with the ids before each shard: sums by part first, so that only a row a part meets in one place; within
+    a part, a running sum."""
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.sum("n_docs").alias("docs"))
     # a row for each of Spark's partitions, however large the corpus: the driver adds them up
     rows, base, docs, table = sorted(parts.collect(), key=lambda r: r["part"]), 0, 0, []
@@ -326,7 +346,8 @@ def shard_starts(manifest: DataFrame) -> DataFrame:
         table.append((r["part"], base, docs))
         base, docs = base + r["tokens"], docs + r["docs"]
     before = manifest.sparkSession.createDataFrame(table, "part int, base long, base_docs long")
-    within = manifest.alias("m").join(manifest.alias("o"), (F.col("m.part") == F.col("o.part")) & (F.col("o.shard") < F.col("m.shard")), "left").groupBy("m.part", "m.shard", "m.path").agg(F.coalesce(F.sum("o.n_tokens"), F.lit(0)).alias("inside"))
+    earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    within = manifest.select("part", "shard", "path", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("inside"))
     return within.join(before, "part").select("part", "shard", "path", (F.col("base") + F.col("inside")).alias("start"))
 
 
@@ -372,7 +393,7 @@ def digests(starts: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    """Writes docs as token shards and reads their digests back."""
+def encode(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, order: list[Column] | None = None) -> DataFrame:
+    """Writes docs as token shards, in ascending doc_id order or that of the columns given, and reads their digests back."""
     folder = folder or new_path(docs.sparkSession, "token-shards")
-    return digests(shard_starts(write_shards(docs, vocabulary, end_id, folder)))
+    return digests(shard_starts(write_shards(docs, vocabulary, end_id, folder, order=order)))

@@ -2,8 +2,8 @@
 
 A classifier gives each document a probability of good quality from the shape of its text: an additive logistic over
 binned features, fitted on labelled rows. Hosts and paths (a host with the first segment of its path) gather these
-probabilities by grouped sums over all documents; a document counts once with each host and each path that shows it. A host's rate is shrunk toward the corpus's, a path's toward its
-host's; how strongly follows from how much sites differ (by moments), so sparse sites stay near their prior. A
+probabilities by grouped sums over all documents; a document counts once with each host and each path that shows it. A
+host's rate is shrunk toward the corpus's, a path's toward its host's; how strongly follows from how much sites differ (by moments), so sparse sites stay near their prior. A
 document's own share is taken out of its path's and host's sums before they judge it. In log-odds, the result is
 
     evidence + path posterior - corpus prior
@@ -28,15 +28,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import BROADCAST_BYTES, discard, materialise, texts_of
 
 #: The classifier is fitted on about so many labelled rows, chosen by a hash of the id.
 FIT_ROWS = 20_000
 BINS, KEEP = 8, 0.5
 FEATURES = 9
+#: Parts of a site's documents, where the sites' sums are too many to broadcast.
+PARTS = 32
 
 
 def shape(text: str) -> list[float]:
@@ -83,9 +85,9 @@ def _shapes(docs: DataFrame, *extra: str) -> DataFrame:
     return thin.mapInArrow(run, "doc_id long, x array<double>" + "".join(f", {e} int" for e in extra))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
-    """A classifier from about so many labelled rows; the driver gets their features only."""
-    known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, among: Column | None = None) -> Classifier:
+    """A classifier from about so many labelled rows; the driver gets their features only. among: which labels may be used."""
+    known = labels.where(F.col("quality").isNotNull() & (F.lit(True) if among is None else among)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     share = min(1.0, rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     got = _shapes(docs.select("doc_id", "text").join(F.broadcast(known.limit(2 * rows)), "doc_id"), "quality").limit(2 * rows).toArrow()  # bounded
@@ -134,13 +136,18 @@ def combine(evidence: DataFrame, sites: DataFrame, keep: float = KEEP) -> DataFr
     # of a document's sites, the first of each host counts for the host, the first of all for the corpus
     placed = sites.withColumns({"first": F.row_number().over(order) == 1, "new_host": ~F.col("host").eqNullSafe(F.lag("host").over(order))})
     placed = placed.select("doc_id", "host", "path", "first", (F.col("first") | F.col("new_host")).alias("of_host"))
+    # texts are scored once, and what follows reads these thin rows
     rows = evidence.join(placed, "doc_id", "left").select("doc_id", F.coalesce("host", F.lit("?")).alias("host"), F.coalesce("path", F.lit("?")).alias("path"), "evidence", F.coalesce("first", F.lit(True)).alias("first"), F.coalesce("of_host", F.lit(True)).alias("of_host"))
+    rows = materialise(rows, "scored-sites")
     total = lambda flag: F.sum(F.when(F.col(flag), F.col("evidence")).otherwise(0.0))
     by_path = rows.groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum("evidence").alias("s_path"), F.count_if("of_host").alias("n_of"), total("of_host").alias("s_of"), F.count_if("first").alias("n_first"), total("first").alias("s_first"))
+    by_path = materialise(by_path, "paths")
     by_host = by_path.groupBy("host").agg(F.sum("n_of").alias("n_host"), F.sum("s_of").alias("s_host"), F.sum("n_first").alias("n_first"), F.sum("s_first").alias("s_first"))
     host_strength, prior = _strength(by_host, "n_host", "s_host")
     path_strength, _ = _strength(by_path, "n_path", "s_path")
-    full = rows.join(by_path.select("host", "path", "n_path", "s_path").join(by_host.select("host", "n_host", "s_host"), "host"), ["host", "path"])
+    sums = materialise(_beside(by_path.select("host", "path", "n_path", "s_path"), by_host.select("host", "n_host", "s_host"), ["host"]), "site-sums")
+    discard(by_path)
+    full = _beside(rows, sums, ["host", "path"])
     own, n = F.col("evidence"), lambda c: F.col(c).cast("double")
     full = full.withColumn("host_rate", (F.col("s_host") - own + host_strength * prior) / (n("n_host") - 1 + host_strength))
     full = full.withColumn("path_rate", (F.col("s_path") - own + path_strength * F.col("host_rate")) / (n("n_path") - 1 + path_strength))
@@ -153,6 +160,17 @@ def combine(evidence: DataFrame, sites: DataFrame, keep: float = KEEP) -> DataFr
     return one.select("doc_id", "s.host", "s.path", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= keep).alias("keep"))
 
 
+def _beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with few, which has each key once. A key may hold any share of rows: few goes to all tasks where it is
+    counted small, else rows of a key are dealt over some parts, to each of which few goes."""
+    bytes_ = few.agg(F.sum(sum((F.octet_length(k) for k in keys), F.lit(64)))).first()[0] or 0
+    if bytes_ <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(few), keys)
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)))
+    each = few.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return dealt.join(each, [*keys, "_part"]).drop("_part")
+
+
 def _inside(p):
     return F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
 

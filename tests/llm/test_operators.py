@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -65,6 +66,29 @@ def edited(text, share):
     return " ".join(w)
 
 
+def test_components_with_labels_too_many_to_broadcast(spark, monkeypatch):
+    from tidemark.llm import components as module
+
+    monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    edges = [(i, i + 1) for i in range(25)] + [(100, i) for i in range(101, 110)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(26)} | {i: 100 for i in range(100, 110)}
+
+
+def test_words_of_any_length_hash_apart():
+    """Also the words whose polynomial hashes modulo 2**64 are equal whatever the base."""
+    from tidemark.llm.common import WordHasher
+
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+        b = a.translate(str.maketrans("ab", "ba"))
+        hasher = WordHasher(jaccard.SPACE)
+        assert hasher.of(a) != hasher.of(b) and hasher.of(a.upper()) == hasher.of(a)
+    got = hasher.words([f"x {a} y {b}".encode(), f"{a}".encode()])[0]
+    assert got[1] == got[4] == hasher.of(a) and got[3] == hasher.of(b)
+
+
 def test_jaccard_groups(spark):
     texts, passage = list(EDGES), prose(60)
     for _ in range(8):
@@ -114,22 +138,67 @@ def test_decontaminate(spark):
     texts = [*EDGES, f"{prose(9)}\n {items[0][1].upper()}\t{prose(9)}", items[1][1].replace(" ", "\n  "), "".join(near), "".join(far), LONG + " " + items[0][1], prose(50), "a SHORT  one here"]
     table = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.matches(docs(spark, texts), table, slice_chars=100).collect()}
-    assert found == {(6, 1): 0, (7, 2): 0, (8, 3): found.get((8, 3)), (10, 1): 0, (12, 6): 0} and 0 < found[8, 3] <= k
+    want = plain_matches(list(enumerate(texts)), items)
+    assert found == {key: d for key, (d, _) in want.items()} and set(found) == {(6, 1), (7, 2), (8, 3), (10, 1), (12, 6)} and 0 < found[8, 3] <= k
     kept = decontaminate.clean(docs(spark, texts), table)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 9, 11] and kept.columns == docs(spark, []).columns
     assert decontaminate.matches(docs(spark, texts), table.limit(0)).count() == 0 and decontaminate.clean(docs(spark, []), table).count() == 0
 
 
+def plain_distance(p, t):
+    """(least edit distance of p to any part of t, the first end of such a part), by the whole table, row by row."""
+    row = np.zeros(len(t) + 1, dtype=np.int64)
+    letters, steps = np.array([ord(c) for c in t], dtype=np.int64), np.arange(len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (letters != ord(c)))))
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min()), int(row.argmin())
+
+
+def plain_matches(rows, items):
+    """{(doc, item): (edits, end)} of all items within their budget of any part of a text: each compared with each."""
+    out = {}
+    for doc, text in rows:
+        t = decontaminate.fold(text or "")
+        for item, pattern in items:
+            p = decontaminate.fold(pattern or "")
+            if p and t:
+                d, end = (0, t.index(p) + len(p)) if p in t else plain_distance(p, t)
+                if d <= decontaminate.edits(len(p)):
+                    out[doc, item] = (d, end)
+    return out
+
+
+def spoiled(text, n, letters="abcdefgh "):
+    """A text with n random letters changed, put in or left out."""
+    t = list(text)
+    for _ in range(n):
+        i = rng.randrange(len(t))
+        t[i : i + 1] = rng.choice([[], [rng.choice(letters)], [t[i], rng.choice(letters)]])
+    return "".join(t)
+
+
+def test_decontaminate_against_all_pairs(spark):
+    items = [(i, prose(rng.randint(4, 40))) for i in range(12)]
+    texts = [f"{prose(rng.randint(0, 20))} {spoiled(t, e)} {prose(rng.randint(0, 20))}" for _, t in items for e in (0, 1, 2, 4, 8, 14)]
+    texts += [f"{spoiled(items[0][1], 3)} {spoiled(items[0][1], 1)} {items[1][1][:-9]}", prose(400)]
+    rows = [(None if i == 3 else i // 2 * 2, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_matches(list(enumerate(texts)), items)
+    assert 30 < len(want) < len(texts) * 2
+    for chars in (100, 1 << 20):
+        found = {(r["doc_id"], r["item_id"]): (r["edits"], r["end"]) for r in decontaminate.matches(docs(spark, list(enumerate(texts))), table, slice_chars=chars).collect()}
+        assert found == want
+    # rows are judged by their own texts, whether their ids repeat or are null
+    got = sorted((str(r["doc_id"]), r["contaminated"], r["item_ids"], r["least_edits"]) for r in decontaminate.report(docs(spark, rows), table).collect())
+    of = [sorted((item, d) for (doc, item), (d, _) in want.items() if doc == i) for i in range(len(texts))]
+    assert got == sorted((str(i), bool(f), [x for x, _ in f], min((d for _, d in f), default=None)) for (i, _), f in zip(rows, of, strict=True))
+
+
 def test_myers_against_the_plain_table():
     for _ in range(200):
         p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(1, n))) for n in (70, 90))
-        row = [0] * (len(t) + 1)
-        for i, c in enumerate(p, 1):
-            new = [i]
-            for j, d in enumerate(t, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
-            row = new
-        assert decontaminate.myers(p, t, len(p))[0] == min(row)
+        assert decontaminate.myers(p, t, len(p)) == plain_distance(p, t) or plain_distance(p, t)[0] == len(p)
 
 
 def test_mixture(spark):
@@ -137,16 +206,41 @@ def test_mixture(spark):
     got = mixture.mix(rows, {"s0": 3.0, "s1": 1.0}, size=2.0).collect()
     by = {s: sum(r["source"] == s for r in got) for s in ("s0", "s1")}
     assert abs(by["s0"] - 1500) < 250 and abs(by["s1"] - 500) < 140 and set(r["source"] for r in got) == {"s0", "s1"}
-    table = {r["source_key"]: r["steps"] for r in mixture.rates(rows, {"s0": 3.0, "s1": 1.0}, size=2.0).collect()}
+    table = {r["source_key"]: r["rate"] for r in mixture.rates(rows, {"s0": 3.0, "s1": 1.0}, size=2.0).collect()}
     for r in got[:200]:
         u = int(hashlib.md5(f"17:{r['doc_id']}".encode()).hexdigest()[:12], 16) / 2**48
-        assert r["n_copies"] == sum(s <= u for s in table[r["source"]]) and r["copy_ix"] < r["n_copies"]
+        assert r["n_copies"] == plain_poisson(table[r["source"]], u) and r["copy_ix"] < r["n_copies"]
     assert sorted(map(str, got)) == sorted(map(str, mixture.mix(rows.repartition(3), {"s0": 3.0, "s1": 1.0}, size=2.0).collect()))
     assert mixture.mix(docs(spark, [])).count() == 0
-    for mean in (0.3, 4.0, 900.0):
-        steps = mixture.poisson_steps(mean)
-        assert abs(sum(1 - s for s in steps) - mean) < 1e-6 * mean + 1e-9 and steps == sorted(steps)
-    assert mixture.poisson_steps(0.0) == []
+    lost = mixture.mix(docs(spark, [(None, f"t{i}") for i in range(400)]).withColumn("source", F.lit("x"))).collect()
+    assert len({r["shuffle_key"] for r in lost}) == len(lost) and 300 < len(lost) < 500
+
+
+def plain_poisson(mean, u):
+    """The least count whose distribution function is above u, by adding up terms from 0."""
+    term, total, k = math.exp(-mean), 0.0, 0
+    while (total := total + term) <= u and k < 10 * mean + 100:
+        k += 1
+        term *= mean / k
+    return k
+
+
+def test_poisson_counts_against_plain_sums():
+    for mean in (0.05, 0.3, 1.0, 4.0, 90.0, 600.0):
+        u = np.array([rng.random() for _ in range(300)] + [0.0, 1 - 2**-48])
+        got = mixture.counts(np.full(len(u), mean), u)
+        assert got[:300].tolist() == [plain_poisson(mean, x) for x in u[:300].tolist()] and got[300] == (0 if mean < 600 else got[300])
+        assert abs(got[:300].mean() - mean) < 6 * math.sqrt(mean / 300)
+    many = mixture.counts(np.full(20_000, 1e6), np.random.default_rng(1).random(20_000))
+    assert abs(many.mean() - 1e6) < 50 and abs(many.std() - 1e3) < 30 and len(mixture.poisson_steps(1e6)[1]) < 25_000
+    assert mixture.counts(np.array([0.0, -1.0, np.inf]), np.array([0.5, 0.5, 0.5])).tolist() == [0, 0, 0]
+
+
+def test_sources_too_many_to_broadcast(spark, monkeypatch):
+    rows = docs(spark, [(i, prose(3)) for i in range(300)])
+    want = sorted(map(str, mixture.mix(rows).collect()))
+    monkeypatch.setattr(mixture, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, mixture.mix(rows).collect())) == want
 
 
 def labelled(spark, n=600):
@@ -169,6 +263,42 @@ def test_toxicity(spark):
     assert toxicity.fit(d, labels.limit(0)).weights and toxicity.classify(docs(spark, []), lexicon).count() == 0
 
 
+def plain_toxicity(text, lexicon):
+    """(hits, score): every entry is looked for at every place of the folded text."""
+    t = toxicity.fold(text or "")
+    letter = lambda i: 0 <= i < len(t) and t[i].isalnum()
+    stands = lambda e, i: t.startswith(e, i) and not letter(i - 1)
+    harmless = [(i, i + len(x)) for x in lexicon.exceptions for i in range(len(t)) if stands(x, i) and not letter(i + len(x))]
+    hits = []
+    for i in range(len(t)):
+        best, end = 0.0, i
+        for e, w in lexicon.weights.items():
+            word = e.rstrip("*")
+            if stands(word, i) and (e.endswith("*") or not letter(i + len(word))) and (w, len(word)) > (best, end - i):
+                best, end = w, i + len(word)
+        if best and not any(a <= i and end <= b for a, b in harmless):
+            hits.append(best)
+    b0, b1, b2 = lexicon.logistic
+    z = b0 + b1 * math.log1p(sum(hits)) + b2 * sum(hits) / math.sqrt(t.count(" ") + t.count("\n") + 1)
+    return len(hits), 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_against_every_entry_at_every_place(spark):
+    words = [toxicity.fold(w) for w in toxicity.SEED]
+    lexicon = toxicity.Lexicon({w: 1.0 + i / 10 for i, w in enumerate(words)} | {w[:5] + "*": 2.0 for w in words[:8] if len(w) > 5})
+    marks = ["trash", "trash can", "Tr4sh", "m0r0n", "clown nose", "clowns", "idiots", "ｉｄｉｏｔ", "pond scum", "scum", "st*pid", "stupidly", "a$$hole", "!diot", "bas-tard", "lоser", "xidiot", "IDIOT"]
+    texts = [*EDGES[:5], *(" ".join(rng.choice([prose(1), rng.choice(marks)]) + rng.choice(["", ".", "!", "\n"]) for _ in range(rng.randint(1, 40))) for _ in range(60)), LONG[:3000] + " idiot"]
+    got = {r["doc_id"]: r for r in toxicity.classify(docs(spark, texts), lexicon).collect()}
+    seen = 0
+    for i, t in enumerate(texts):
+        hits, score = plain_toxicity(t, lexicon)
+        seen += hits
+        assert got[i]["hits"] == hits and abs(got[i]["score"] - score) < 1e-12 and got[i]["predicted"] == int(score >= 0.7), t
+    assert seen > 200
+    kept = {r["doc_id"] for r in toxicity.clean(docs(spark, texts), lexicon).collect()}
+    assert kept == {i for i, r in got.items() if r["score"] < toxicity.THRESHOLD}
+
+
 def test_site_quality(spark):
     good, bad = (lambda: prose(60)), (lambda: " ".join(["Zu!!"] * 30) + " ### ###")
     d = docs(spark, [bad() if i % 4 == 0 else good() for i in range(400)] + EDGES[:3])
@@ -183,6 +313,17 @@ def test_site_quality(spark):
     assert all(abs(r["evidence"] - 0.5) < 1e-12 for r in quality.evidence(d, none).collect()) and quality.evidence(docs(spark, []), none).count() == 0
 
 
+def test_sites_too_many_to_broadcast(spark, monkeypatch):
+    d = docs(spark, [prose(30) for _ in range(90)])
+    pages = spark.createDataFrame([(i, f"https://h{i % 7}.org/p{i % 3}/{i % 60}", "") for i in range(120)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = lambda: sorted((r["doc_id"], r["path"], round(r["score"], 9)) for r in quality.combine(quality.evidence(d, quality.fit(d, labels)), quality.sites(d, pages)).collect())
+    want = rows()
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", -1)
+    assert rows() == want and len(want) == 90
+    assert quality.fit(d, labels, among=F.col("doc_id") < 0).weights.any() == False  # noqa: E712  no labels are left
+
+
 def test_every_page_of_a_document_counts(spark):
     shows = {1: [("a", "x"), ("b", "x")], 2: [("a", "x"), ("a", "y"), ("a", "x")], 3: [("b", "x")], 4: [("b", "z")], 5: [], 6: [("a", "y"), ("b", "z")]}
     p = {1: 0.9, 2: 0.8, 3: 0.1, 4: 0.2, 5: 0.6, 6: 0.5}
@@ -229,6 +370,30 @@ def test_licenses(spark):
     assert all(got[i]["score"] == 0 and got[i]["labels"] == [] for i in range(6)) and licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_kindred_licenses_are_told_apart(spark):
+    texts = ["Licensed under CC BY-ND 4.0", "Licensed under CC BY-NC-SA 4.0", "licensd under CC BY-NC 4.0", "Licensed under CC BY 4.0", "under the terms of the GNU Lesser General Public License", "under the terms of the GNU Genral Public License",
+             "under the bit license", "Licensed under the Apache License, Version 1.1", "under the terms of the GNU Affero General Public Licence"]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(9)] == [["cc-by-nd"], ["cc-by-nc", "cc-by-nc-sa"], ["cc-by-nc"], ["cc-by"], ["lgpl"], [], [], [], ["agpl"]]
+
+
+def test_notices_against_all_alignments():
+    """A notice is found where the whole table of distances finds it within its budget, and only there."""
+    plain = {t: label for t, label in licenses.NOTICES.items() if not licenses.EXACT.get(t)} | {prose(k): f"l{k}" for k in (2, 4, 7, 11)}
+    find, seen = licenses.Notices(plain), 0
+    for _ in range(150):
+        some = [spoiled(rng.choice(list(plain)), rng.randint(0, 9)) for _ in range(rng.randint(1, 3))]
+        words = licenses.fold(" ".join(f"{prose(rng.randint(0, 6))} {x}" for x in some))
+        want = {label for text, label in plain.items() if plain_distance(text, words)[0] <= max(0, min(len(text) // 12, len(text) // 7 - 1))}
+        found = find.found(words)
+        assert {x[0] for x in found} == want
+        assert all(plain_distance(next(t for t, n in plain.items() if n == x[0] and len(t) == x[4]), words[x[1] : x[2]])[0] <= x[3] for x in found)
+        kept = find(words)
+        assert all(a[2] <= b[1] for a, b in itertools.pairwise(kept)) and all(any(x[1] < k[2] and k[1] < x[2] for k in kept) for x in found)
+        seen += len(found)
+    assert seen > 100
+
+
 def test_edited_notices_before_a_better_one():
     find = licenses.Notices({"under the mit license": "mit"})
     edited, exact = "under the mit licence", "under the mit license"
@@ -258,6 +423,50 @@ def test_secrets(spark):
     assert f"token:{at}:{at + 40}" in got[6]["spans"] and "token" not in got[10]["spans"] + got[11]["spans"] and secrets.scan(docs(spark, []), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_token_spans_against_a_plain_scan(spark):
+    """Every run of candidate characters of a text is tested, with no look for long runs before."""
+    import public_tokenizers
+
+    test = secrets.TokenTest(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, secrets.RATIO)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    odd = ["password=" + key(24), "AKIA" + "Q7" * 9, "0a" * 14, key(30) + "==", "-" + key(22) + "-", "é" + key(20), key(19), "snake_case_of_many_words_and_more", "2024-01-01-2024-01-01-99", "a/b/" + key(26)]
+    texts = [*EDGES, *(" ".join(rng.choice([prose(2), key(rng.randint(10, 44)), rng.choice(odd)]) for _ in range(12)) for _ in range(50))]
+    got = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["spans"]} for r in secrets.scan(docs(spark, texts), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = {(k, *m.span()) for k, p, g, least in (("assign", secrets.ASSIGN, 2, 6), ("access", secrets.ACCESS, 0, 20), ("hex", secrets.HEX, 0, 24)) for m in p.finditer(t) if len(m[g]) >= least}
+        want, at = set(), 0
+        while at < len(t):
+            end = at
+            while end < len(t) and (t[end].isascii() and t[end].isalnum() or t[end] in "+/_=-"):
+                end += 1
+            a, b = at, end
+            if end - at >= 20:
+                a += len(t[a:b]) - len(t[a:b].lstrip("=-_/+"))
+                b -= len(t[a:b]) - len(t[a:b].rstrip("-_/+"))
+                if not any(x < b and a < y for _, x, y in base) and test(t[a:b]):
+                    want.add(("token", a, b))
+            at = max(end, at + 1)
+        assert got[i] == base | want
+        found += len(want)
+    assert found > 100
+
+
+def test_random_keys_are_found_and_words_are_not():
+    import public_tokenizers
+
+    test = secrets.TokenTest(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, secrets.RATIO)
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for n, least in ((20, 0.97), (32, 0.99), (40, 0.99)):
+        assert sum(test("".join(r.choice(letters) for _ in range(n))) for _ in range(400)) >= least * 400
+    words = ["configuration", "benchmark", "the", "document", "value", "token", "shard", "partition", "next", "result"]
+    names = ["_".join(r.choice(words) for _ in range(4)) for _ in range(200)] + ["".join(r.choice(words).title() for _ in range(4)) for _ in range(200)]
+    assert not any(map(test, names))
+
+
 def test_secrets_without_digits():
     import public_tokenizers
 
@@ -282,6 +491,21 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0 and warc.archive(pages.where("page_id = 6").union(pages.where("page_id = 6"))).where("record_type = 'response'").count() == 2
 
 
+def test_warc_record_of_many_chunks(spark):
+    """Frames longer than what is read at once, beside short ones, and a file that ends within a record."""
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40_000))
+    long = "".join(noise[k % 39_000 : k % 39_000 + 997] for k in range(0, 12_000_000, 3001))
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", long), (3, "u", "b")], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, warc.new_path(spark, "warc"))
+    assert {r["page_id"]: r["payload_bytes"] for r in warc.read_archives(manifest).collect()} == {1: 1, 2: len(long), 3: 1}
+    path = warc.new_path(spark, "cut") + "/x.warc.zst"
+    from tidemark.llm.common import read_file, write_file
+
+    write_file(path, [read_file(manifest.first()["path"])[:-5]])
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.read_records(path))
+
+
 def test_warc_page_fetched_again(spark):
     one, two, three = ("<p>" + prose(300) for _ in range(3))
     html = [(1, one), (1, two), (1, three), (2, one), (3, three)]

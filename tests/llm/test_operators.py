@@ -535,6 +535,22 @@ def test_embeddings(spark):
     assert embeddings.links(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_a_vec_id(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.01, 1.0]
+    rows = [(3, a), (5, a), (5, b), (5, b), (9, c), (7, c), (8, [0.0, 0.02, 1.0]), (6, None)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.links(df).collect())
+    # vectors of id 5: one like that of 3, and one apart from it, twice; so 3 and 5 are one component
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (5, 1, 3, False), (6, 0, 6, True), (7, 2, 7, True), (8, 2, 7, False), (9, 2, 7, False)]
+
+
+def test_hashes_do_not_depend_on_what_is_beside():
+    r = np.random.default_rng(2)
+    x = embeddings._units(r.standard_normal((700, 33)))
+    whole = embeddings.hashes(x, 48, 12, 1.4)
+    assert all((embeddings.hashes(x[k : k + n], 48, 12, 1.4) == whole[k : k + n]).all() for k, n in ((0, 1), (5, 2), (100, 77), (300, 400)))
+
+
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     r = np.random.default_rng(6)

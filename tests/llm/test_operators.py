@@ -103,6 +103,18 @@ def test_jaccard_groups(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in again.collect()) == [("1", 2, "1"), ("1", 2, "1"), ("2", 1, "2"), ("3", 2, "1"), ("None", 1, "None")]
 
 
+def test_jaccard_groups_of_a_shingle_that_many_have(spark, monkeypatch):
+    """Pairs that no hub finds, among documents that all share some shingles, in blocks of a few documents."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    head, texts = prose(12), []
+    for _ in range(14):
+        base = f"{head} {prose(30)}"
+        texts += [base, base + " " + prose(6), prose(3) + " " + base]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(docs(spark, rows)).collect()}
+    assert got == plain_groups(rows)
+
+
 def test_prefixes_of_every_length_share_enough():
     """The theorem that the join stands on, with the sizes' own overlap, for random sets and orders."""
     for _ in range(300):

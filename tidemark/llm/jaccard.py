@@ -15,7 +15,7 @@ a pair the smaller l holds. The steps:
    original among edited copies) to its others. A document is verified with the hub that it shares most with, if that
    is enough, and the links are joined up. That finds nearly all links of large groups without pairing their members.
 4. The rest: where a shingle still has documents of different components, those pairs (never two of one component) are
-   counted, held to the multi-match bound (with the overlap that their own two sizes need, which shortens the prefix
+   counted (documents of a shingle that many have meet in pairs of blocks, each a group of its own), held to the multi-match bound (with the overlap that their own two sizes need, which shortens the prefix
    that counts), verified, and the links added. Nothing is dropped, so components are exact.
 
 Pairs whose sketches (counts of members by cell, an upper bound of the overlap) rule out a link are dropped first;
@@ -49,6 +49,8 @@ FREQUENT = 300_000
 BLOCK_MEMBERS = 2_500_000
 #: What verifying a candidate costs, in postings.
 VERIFY_COST = 20.0
+#: Documents of one shingle that are compared in one group; more are cut into blocks.
+BLOCK = 2_000
 
 
 class Shingler:
@@ -290,15 +292,23 @@ def groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
     # shingles whose documents are still apart; a document without links is its own component
     placed = more.drop("hub").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     placed = materialise(placed, "placed")
-    apart = placed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-    still = materialise(placed.join(apart, "token"), "apart")
+    apart = placed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("k")).where("x < y")
+    still = materialise(placed.join(apart.select("token", "k"), "token"), "apart")
     discard(lowest, more, placed)
-    x, y = (still.select("token", F.col("doc").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("label", "n", "l", "pos"))) for s in "ab")
+    sides = lambda rows, *keys: (rows.select("token", *keys, F.col("doc").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("label", "n", "l", "pos", "part") if c in rows.columns)) for s in "ab")
+    x, y = sides(still)
     # the overlap that two sets of these sizes need, and so how far their first l shared members may stand
     overlap = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     upto = lambda l_: (F.col("pos_a") <= F.col("n_a") - overlap + l_) & (F.col("pos_b") <= F.col("n_b") - overlap + l_)
-    # those that share l members so far share one of all but the l - 1 most frequent: these need no postings
-    cross = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & upto(1)).groupBy("a", "b").agg(F.lit(1).alias("shared"))
+    # those that share l members so far share one of all but the l - 1 most frequent: these need no postings, nor do
+    # places that no partner's size allows. Block i meets every block j >= i
+    early = still.where(F.col("pos") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1)
+    early = early.withColumn("parts", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
+    early = early.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    u, v = sides(early, "i", "j")
+    apart_blocks = (F.col("i") == F.col("j")) | (F.col("part_a") != F.col("part_b"))
+    met = u.join(v, ["token", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & apart_blocks & upto(1))
+    cross = met.groupBy("a", "b").agg(F.lit(1).alias("shared"))
     asked = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = plausible(cross.join(asked, ["a", "b"], "left_anti"), held, percent)
     least = F.least("l_a", "l_b")

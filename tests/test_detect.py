@@ -20,9 +20,9 @@ def test_the_only_scope_that_moved_owns_the_change(spark):
 
 
 def test_examples_of_a_file_collapse(spark):
-    rows = [("c", "r", "error", e, "4:" + e, e, f) for e, f in (("e1", "a"), ("e2", "a"), ("e3", "b"))] + [("c", "r", "error", "q", "4:q", "e1", "a")]
-    got = detect.collapse(spark.createDataFrame(rows, "context string, run string, kind string, behavior string, group_key string, example string, file string"))
-    assert {r["behavior"]: r["group_key"] for r in got.collect()} == {"e1": "2:error:a", "e2": "2:error:a", "q": "2:error:a", "e3": "4:e3"}
+    rows = [("c", "r", "new", e, "1:example:" + e, e, f, True) for e, f in (("e1", "a"), ("e2", "a"), ("e3", "b"))] + [("c", "r", "frequency", "q", "1:example:e1", "e1", None, False), ("c", "r", "error", "e4", "1:example:e4", "e4", "a", False)]
+    got = detect.collapse(spark.createDataFrame(rows, "context string, run string, kind string, behavior string, group_key string, example string, file string, moved boolean"))
+    assert {r["behavior"]: r["group_key"] for r in got.collect()} == {"e1": "2:new:a", "e2": "2:new:a", "q": "2:new:a", "e3": "1:example:e3", "e4": "1:example:e4"}
 
 
 def test_partial_runs_say_less(spark):

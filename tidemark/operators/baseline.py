@@ -29,39 +29,46 @@ def skipped_existing(t: str) -> Column:
     return (F.col(f"{t}.errors_outside") > 0) | stopped(t) | filtered(t)
 
 
+def _keys(pairs: DataFrame) -> list[str]:
+    """What names a comparison: its case, where runs are judged more than once, and its run."""
+    return ["case", "run_id"] if "case" in pairs.columns else ["run_id"]
+
+
 def judged(pairs: DataFrame, tests: DataFrame, examples: DataFrame) -> DataFrame:
-    """pairs (run_id, candidate) with reason: null for a comparable candidate.
+    """pairs (run_id, candidate, maybe case) with reason: null for a comparable candidate.
 
     A candidate without a summary is out. One that ran everything it had, or all that both this run and any candidate
     ran, is in. Else it had errors, was stopped, or was a subset. Without a summary of its own, a run takes them all.
     examples: distinct (run_id, example).
     """
+    keys = _keys(pairs)
     mine = pairs.join(examples, "run_id")
     theirs = examples.withColumnRenamed("run_id", "candidate")
-    met = mine.join(theirs, ["candidate", "example"]).select("run_id", "candidate", "example")
-    existed = met.select("run_id", "example").distinct()
-    lacking = pairs.join(existed, "run_id").join(met, ["run_id", "candidate", "example"], "left_anti").select("run_id", "candidate").distinct().withColumn("lacks", F.lit(True))
+    met = mine.join(theirs, ["candidate", "example"]).select(*keys, "candidate", "example")
+    existed = met.select(*keys, "example").distinct()
+    lacking = pairs.join(existed, keys).join(met, [*keys, "candidate", "example"], "left_anti").select(*keys, "candidate").distinct().withColumn("lacks", F.lit(True))
     now = tests.select("run_id", F.struct("ran", "loaded", "defined", "errors_outside").alias("now"))
     then = tests.select(F.col("run_id").alias("candidate"), F.struct("ran", "loaded", "defined", "errors_outside").alias("then"))
-    rows = pairs.join(now, "run_id", "left").join(then, "candidate", "left").join(lacking, ["run_id", "candidate"], "left")
+    rows = pairs.join(now, "run_id", "left").join(then, "candidate", "left").join(lacking, [*keys, "candidate"], "left")
     ran_all = ~skipped_existing("then") & F.col("then.defined").isNotNull()
     why = F.when(F.col("now").isNull(), None).when(F.col("then").isNull(), "no_test_summary").when(ran_all | F.col("lacks").isNull(), None)
     why = why.when(F.col("then.errors_outside") > F.col("now.errors_outside"), "errors_outside_examples").when(stopped("then"), "stopped").otherwise("subset")
-    return rows.select("run_id", "candidate", why.alias("reason"))
+    return rows.select(*keys, "candidate", why.alias("reason"))
 
 
 def incomplete(pairs: DataFrame, tests: DataFrame, examples: DataFrame) -> DataFrame:
-    """run_id, reason of the runs that did not run what their baseline did. pairs: comparable (run_id, candidate) only."""
-    theirs = pairs.join(examples.withColumnRenamed("run_id", "candidate"), "candidate").select("run_id", "example").distinct()
-    missed = theirs.join(examples, ["run_id", "example"], "left_anti").select("run_id").distinct().withColumn("missed", F.lit(True))
-    then = pairs.join(tests.withColumnRenamed("run_id", "candidate"), "candidate", "left").groupBy("run_id").agg(F.count("*").alias("n"), F.count("ran").alias("summaries"), F.coalesce(F.max("errors_outside"), F.lit(0)).alias("errors"))
-    rows = then.join(tests.select("run_id", F.struct("ran", "loaded", "defined", "errors_outside").alias("now")), "run_id", "left").join(missed, "run_id", "left")
+    """run_id, n, reason of the runs that did not run what their baseline did. pairs: comparable (run_id, candidate, maybe case) only."""
+    keys = _keys(pairs)
+    theirs = pairs.join(examples.withColumnRenamed("run_id", "candidate"), "candidate").select(*keys, "example").distinct()
+    missed = theirs.join(examples, ["run_id", "example"], "left_anti").select(*keys).distinct().withColumn("missed", F.lit(True))
+    then = pairs.join(tests.withColumnRenamed("run_id", "candidate"), "candidate", "left").groupBy(*keys).agg(F.count("*").alias("n"), F.count("ran").alias("summaries"), F.coalesce(F.max("errors_outside"), F.lit(0)).alias("errors"))
+    rows = then.join(tests.select("run_id", F.struct("ran", "loaded", "defined", "errors_outside").alias("now")), "run_id", "left").join(missed, keys, "left")
     why = F.when(F.col("now").isNull(), F.when(F.col("n") == F.col("summaries"), "no_test_summary")).when(F.col("missed").isNull(), None)
     why = why.when(F.col("now.errors_outside") > F.col("errors"), "errors_outside_examples").when(stopped("now"), "stopped").when(filtered("now"), "subset")
-    return rows.withColumn("reason", why).where("reason is not null").select("run_id", "n", "reason")
+    return rows.withColumn("reason", why).where("reason is not null").select(*keys, "n", "reason")
 
 
 def partial(pairs: DataFrame, tests: DataFrame) -> DataFrame:
-    """run_id, partial: whether every baseline run skipped examples that exist."""
-    then = pairs.join(tests.select(F.col("run_id").alias("candidate"), F.struct("ran", "loaded", "defined", "errors_outside").alias("then")), "candidate")
-    return then.groupBy("run_id").agg(F.bool_and(skipped_existing("then")).alias("partial"))
+    """run_id, partial: whether every baseline run has a summary that says it skipped examples that exist."""
+    then = pairs.join(tests.select(F.col("run_id").alias("candidate"), F.struct("ran", "loaded", "defined", "errors_outside").alias("then")), "candidate", "left")
+    return then.groupBy(*_keys(pairs)).agg(F.bool_and(F.coalesce(skipped_existing("then"), F.lit(False))).alias("partial"))

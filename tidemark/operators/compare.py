@@ -97,11 +97,18 @@ def slowdowns(compared: DataFrame, order: str) -> DataFrame:
     rows = compared.withColumn("slow", F.when(F.col("now") & (F.size("vals") > 0), F.col("current") - median_of(F.col("vals"))))
     w = Window.partitionBy("context", "run").orderBy(order)
     rows = rows.withColumn("neighbour", F.greatest(F.lag("slow").over(w), F.lead("slow").over(w)))
-    # only the largest can veto: four slowdowns above half a candidate's own are enough to know
-    cohort = rows.where("slow > 0").groupBy("context", "run").agg(F.sort_array(F.collect_list("slow"), asc=False).alias("slowdowns"))
+    # only the largest can veto: one more of them than the rule asks for is enough to know
+    cohort = largest(rows.where("slow > 0"), ["context", "run"], "slow", rules.COHORT_PEERS + 1, "slowdowns")
     return rows.join(cohort, ["context", "run"], "left")
 
 
+def largest(rows: DataFrame, keys: Sequence[str], value: str, n: int, name: str) -> DataFrame:
+    """keys and the n largest values of each group, largest first; a group of any size is ranked in parts."""
+    salted = rows.select(*keys, value, (F.monotonically_increasing_id() % 64).alias("salt"))  # any salt gives the same values
+    few = salted.withColumn("p", F.row_number().over(Window.partitionBy(*keys, "salt").orderBy(F.desc(value)))).where(F.col("p") <= n)
+    return few.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(value), asc=False), 1, n).alias(name))
+
+
 def tier(kind, on_request=None, outside=None, stderr=None, demoted=None, timed=None):
     """1 for errors, incomplete runs and new failures outside examples, to 5 for what setup or the suite's size explains."""
     no = F.lit(False)

@@ -78,18 +78,20 @@ def sole_scope(scopes: DataFrame, runs: DataFrame, behavior: Sequence[str], scop
 
 def group_key(kind: Column, behavior: Column, owner: Column, sole: Column, template: Column, stderr: Column) -> Column:
     """What a signal is grouped under: an incomplete run, a scope, a start of stderr lines, or itself. The digit orders kinds."""
-    scope = F.coalesce(owner, sole)
-    return F.when(kind == "incomplete", "0").when(scope.isNotNull(), F.concat(F.lit("1:"), scope)).when(stderr, F.concat(F.lit("3:"), F.substring(template, 1, 60))).otherwise(F.concat(F.lit("4:"), behavior))
+    found = F.when(kind == "incomplete", "0").when(owner.isNotNull(), F.concat(F.lit("1:"), owner))
+    return found.when(stderr, F.concat(F.lit("3:"), F.substring(template, 1, 60))).when(sole.isNotNull(), F.concat(F.lit("1:"), sole)).otherwise(F.concat(F.lit("4:"), behavior))
 
 
-def collapse(found: DataFrame) -> DataFrame:
-    """found with group_key: two or more examples of one file that moved alike are one group, with all of their scope.
+def collapse(found: DataFrame, keys: Sequence[str] = ("context", "run")) -> DataFrame:
+    """found with group_key: two or more examples of one file that came or went together are one group, with all of their scope.
 
-    found: context, run, kind, behavior, group_key, and where known example (the example that a signal is about) and file.
+    found: keys, kind, behavior, group_key, moved (an example that came or went), file (its own), and example (the example
+    that a signal is about or belongs to, if any).
     """
-    examples = found.where("example is not null and behavior = example").groupBy("context", "run", "kind", "file").agg(F.count("*").alias("alike")).where("alike > 1")
+    together = Window.partitionBy(*keys, "kind", "file")
+    moved = found.where("moved and file is not null").select(*keys, "kind", "file", F.col("behavior").alias("example")).withColumn("alike", F.count("*").over(together)).where("alike > 1")
     key = F.concat(F.lit("2:"), "kind", F.lit(":"), "file")
-    return found.join(examples, ["context", "run", "kind", "file"], "left").withColumn("group_key", F.when(F.col("alike").isNotNull(), key).otherwise(F.col("group_key"))).drop("alike")
+    return found.join(moved.select(*keys, "example", key.alias("of_file")), [*keys, "example"], "left").withColumn("group_key", F.coalesce("of_file", "group_key")).drop("of_file")
 
 
 def partial_filters(found: DataFrame, incomplete: DataFrame, ran: DataFrame, partial: DataFrame) -> DataFrame:

@@ -70,20 +70,44 @@ def load_error(context: Column, error: Column, message: Column) -> Column:
     return F.when(file != "", F.concat(file, F.lit(" failed to load: "), F.coalesce(error, F.lit("error")), F.lit(": "), cause)).otherwise(F.regexp_replace(context, r"\.+$", ""))
 
 
+RESULT = r"^test (.+) \.\.\. (ok|FAILED|ignored)(?:, .*)?$"
+TOTALS = r"^test result: (ok|FAILED)\. "
+
+
 def libtest(lines: DataFrame) -> DataFrame:
-    """Results of libtest on stdout: an example a test, a summary a binary, with its first six measures."""
+    """Results of libtest on stdout: an example a test, and a summary a binary; an ignored test counts as run and pending."""
     out = lines.where("stream = 'stdout'")
-    name, result = F.regexp_extract("line", r"^test (.*) \.\.\. (ok|FAILED|ignored)(?:, .*)?$", 1), F.regexp_extract("line", r"^test (.*) \.\.\. (ok|FAILED|ignored)(?:, .*)?$", 2)
-    tests = out.where(result != "").select(*KEYS, *_event("test.example", name, outcome=F.when(result == "ok", "success").when(result == "FAILED", "failure").otherwise("skipped")))
-    number = lambda word: F.regexp_extract("line", rf"(\d+) {word}", 1).try_cast("double")
-    ran = number("passed") + number("failed")
-    entries = {"examples": ran, "failures": number("failed"), "pending": number("ignored"), "expected": ran + number("ignored"), "defined": ran + number("ignored") + number("filtered out"), "measured": number("measured")}
-    measures = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
+    name, result = F.regexp_extract("line", RESULT, 1), F.regexp_extract("line", RESULT, 2)
+    # a reason may follow ignored only
+    whole = (result != "") & (F.col("line").rlike(r" \.\.\. (?:ok|FAILED|ignored)$") | (result == "ignored"))
+    tests = out.where(whole).select(*KEYS, *_event("test.example", masks.unnumbered(name), outcome=F.when(result == "ok", "success").when(result == "FAILED", "failure").otherwise("skipped")))
+    number = lambda word: F.coalesce(F.regexp_extract("line", rf"(?:\. |; )(\d+) {word}(?:;|$)", 1).try_cast("double"), F.lit(0.0))
+    passed, failed, ignored = number("passed"), number("failed"), number("ignored")
+    ran = passed + failed + ignored
+    # in this order, since a behavior keeps its first six measures
+    entries = {"examples": ran, "expected": ran, "defined": ran + number("filtered out"), "failures": failed, "pending": ignored, "passed": passed}
+    measures = F.map_from_arrays(F.array(*map(F.lit, entries)), F.array(*entries.values()))
     took = F.regexp_extract("line", r"finished in ([\d.]+)s", 1).try_cast("double")
-    sums = out.where(F.col("line").rlike(r"^test result: (?:ok|FAILED)\. \d+ passed")).select(*KEYS, *_event("test.summary", F.lit("cargo"), F.round(took * 1e6), F.when(F.col("line").startswith("test result: ok"), "success").otherwise("failure"), measures=measures))
+    verdict = F.regexp_extract("line", TOTALS, 1)
+    sums = out.where(verdict != "").select(*KEYS, *_event("test.summary", F.lit("cargo test"), F.round(took * 1e6), F.when(verdict == "ok", "success").otherwise("failure"), measures=measures))
     return tests.unionByName(sums)
 
 
+def cargo_notices(lines: DataFrame) -> DataFrame:
+    """run_id, stream, seq of what the build tool says on stderr of test targets that failed; results have said so already.
+
+    Names of targets stand one after another below a line with their number: those that form an island of rows ending there.
+    """
+    err = lines.where("stream = 'stderr'")
+    counted, item = F.col("line").rlike(r"^error: 0*[1-9]\d* targets? failed:$"), F.trim("line").rlike("^`--.*`$")
+    known = err.where(F.col("line").startswith("error: test failed, to rerun pass `") | F.col("line").rlike(r"^error: \d+ targets? failed:$")).select("run_id", "stream", "seq")
+    listed = err.where(counted | item).select("run_id", "stream", "seq", counted.alias("counted"))
+    island = F.col("seq") - F.row_number().over(Window.partitionBy("run_id", "stream").orderBy("seq"))
+    first = F.min(F.when(F.col("counted"), F.col("seq"))).over(Window.partitionBy("run_id", "stream", "island"))
+    items = listed.withColumn("island", island).withColumn("first", first).where(~F.col("counted") & (F.col("seq") > F.col("first"))).select("run_id", "stream", "seq")
+    return known.union(items)
+
+
 QUERY = r"^\s*([A-Za-z0-9 :?_]*?) ?\((\d+(?:\.\d+)?)ms\)  (.*)$"
 
 
@@ -136,23 +160,37 @@ def example_ranges(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("run_id").orderBy("seq")
     pairs = rows.withColumns({"was": F.lag("event").over(w), "was_id": F.lag("id").over(w), "start": F.lag("log_offset").over(w)})
     pairs = pairs.where("event = 'example' and was = 'example_started' and was_id = id and start <= log_offset")
-    # of ranges that overlap, the first stays: those that begin before the greatest end so far are dropped
+    # of ranges that overlap, the first stays. Where none begins before the greatest end so far, all stay; a run that has
+    # such a one is gone through in order, since what is dropped drops nothing itself
     before = F.max("log_offset").over(Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return pairs.withColumn("before", before).where("before is null or start >= before").select("run_id", "id", "example", "start", F.col("log_offset").alias("end"))
+    ranges = pairs.withColumn("overlaps", F.coalesce(F.col("start") < before, F.lit(False))).select("run_id", "seq", "id", "example", "start", F.col("log_offset").alias("end"), "overlaps")
+    mixed = ranges.where("overlaps").select("run_id").distinct()
+
+    def kept(pdf):
+        rows, end = [], -1
+        for k, (a, z) in enumerate(zip(pdf.sort_values("seq")["start"], pdf.sort_values("seq")["end"], strict=True)):
+            if a >= end:
+                rows.append(k)
+                end = z
+        return pdf.sort_values("seq").iloc[rows]
+
+    apart = ranges.join(mixed, "run_id", "left_anti")
+    return apart.unionByName(ranges.join(mixed, "run_id").groupBy("run_id").applyInPandas(kept, ranges.schema)).drop("seq", "overlaps")
 
 
 def attribute(events: DataFrame, lines: DataFrame) -> DataFrame:
-    """events of the log with the example that ran when their line was written, else the phase between, before or after."""
+    """events of the log with the example that ran when their line was written, else the phase between or after examples,
+    else the request that they serve; before the first example there is no scope."""
     w = Window.partitionBy("run_id", "stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     at = lines.where(F.col("stream") == LOG).select("run_id", "stream", "seq", F.coalesce(F.sum("raw_len").over(w), F.lit(0)).alias("at"))
     ranges = example_ranges(lines)
     placed = as_of(at, ranges.select("run_id", F.col("start").alias("at"), "start", "end", "example"), ["run_id"], "at", ["start", "end", "example"])
     edge = ranges.groupBy("run_id").agg(F.max("end").alias("last_end"))
     inside = F.col("at") < F.col("end")
-    phase = F.when(F.col("last_end").isNull(), None).when(inside, F.concat(F.lit("example:"), "example")).when(F.col("start").isNull(), "phase:setup").when(F.col("at") >= F.col("last_end"), "phase:teardown").otherwise("phase:between")
+    phase = F.when(F.col("last_end").isNull(), None).when(inside, F.concat(F.lit("example:"), "example")).when(F.col("start").isNull(), None).when(F.col("at") >= F.col("last_end"), "phase:teardown").otherwise("phase:between")
     known = placed.join(edge, "run_id", "left").select("run_id", "stream", "seq", phase.alias("phase"))
     out = events.join(known, ["run_id", "stream", "seq"], "left")
-    return out.withColumn("scope", F.when(F.col("phase").startswith("example:"), F.col("phase")).otherwise(F.coalesce("scope", "phase"))).drop("phase")
+    return out.withColumn("scope", F.coalesce("phase", "scope")).drop("phase")
 
 
 def resources(runs: DataFrame) -> DataFrame:
@@ -161,14 +199,19 @@ def resources(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.lit(9).alias("feed"), F.lit("resources").alias("stream"), F.lit(1).cast("long").alias("seq"), F.lit("").alias("line"), *_event("run.resources", F.lit("process resources"), measures=F.create_map(*named)))
 
 
-def interpret(lines: DataFrame, roots: Roots | None = None) -> DataFrame:
-    """All events of lines, with behavior_id, scope_id and arrival, their place in the run by feed, then seq."""
+def interpret(lines: DataFrame, roots: Roots | None = None, usage: DataFrame | None = None) -> DataFrame:
+    """All events of lines, with behavior_id, scope_id and arrival, their place in the run by feed, then seq.
+
+    usage: what resources() takes, a row for each run that measured any.
+    """
     runner, cargo = rspec(lines), libtest(lines)
     log = attribute(rails(lines, roots), lines)
-    claimed = runner.select("run_id", "stream", "seq").union(cargo.select("run_id", "stream", "seq")).distinct()
+    claimed = runner.select("run_id", "stream", "seq").union(cargo.select("run_id", "stream", "seq")).distinct().union(cargo_notices(lines))
     ignored = lines.where((F.col("stream") == EVENTS) & F.get_json_object("line", "$.event").isNotNull()).select("run_id", "stream", "seq")
     rest = lines.where((F.col("stream") != LOG) & (F.trim("line") != "")).join(claimed.union(ignored), ["run_id", "stream", "seq"], "left_anti")
     events = runner.unionByName(cargo).unionByName(log).unionByName(generic(rest, roots))
+    if usage is not None:
+        events = events.unionByName(resources(usage))
     named = events.withColumn("behavior_id", behavior_ids("kind", "template"))
     kind = F.when(F.col("scope").startswith("example:"), "test.example").when(F.col("scope").startswith("request:"), "scope.request").otherwise("phase")
     return named.withColumn("scope_id", F.when(F.col("scope").isNotNull(), behavior_ids(kind, F.regexp_replace("scope", "^[a-z]+:", "")))).withColumn("arrival", F.struct("feed", "seq", "kind"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rate
+from ..sources.scratch import materialise
+from . import detection
 
 # How much of a context is kept unless asked otherwise.
 KEEP_STATS_RUNS, KEEP_EVIDENCE_RUNS, LIVE_RUNS, IDLE_DAYS = 200, 20, 21, 90
@@ -28,6 +30,25 @@ def outcomes(judged: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("status", status(F.lit(True), F.col("firing"), F.col("resolved_in"))).drop("firing")
 
 
+SIGNAL = ["run_id", "behavior", "kind", "measure"]
+
+
+def judge(stats: detection.Stats, raised: DataFrame) -> DataFrame:
+    """What became of signals of any kind: run_id, behavior, kind, measure, status, resolved_in, recurred_in (runs), recurrences.
+
+    raised: run_id, behavior, kind, measure. Later runs are judged by the baseline of the signal's own run; a signal that
+    its own run no longer raises is unknown, one without a vote open.
+    """
+    votes = materialise(detection.votes(stats, raised), "votes")
+    said = outcomes(votes.where("later is not null"), SIGNAL)
+    name = votes.where("later is not null").select("run_id", "ord", "later").distinct()
+    named = lambda c: name.select("run_id", F.col("ord").alias(c), F.col("later").alias(f"{c}_run"))
+    rows = votes.select(*SIGNAL, "reproducible").distinct().join(said, SIGNAL, "left")
+    rows = rows.join(named("resolved_in"), ["run_id", "resolved_in"], "left").join(named("recurred_in"), ["run_id", "recurred_in"], "left")
+    verdict = F.when(~F.col("reproducible"), "unknown").otherwise(F.coalesce("status", F.lit("open")))
+    return rows.select(*SIGNAL, verdict.alias("status"), F.col("resolved_in_run").alias("resolved_in"), F.col("recurred_in_run").alias("recurred_in"), F.coalesce("recurrences", F.lit(0)).alias("recurrences"))
+
+
 def status(reproducible, firing, resolved_in):
     """unknown where detection can't be repeated; recurred where it fires after a silence; then resolved or open."""
     return F.when(~reproducible, "unknown").when(firing & resolved_in.isNotNull(), "recurred").when(resolved_in.isNotNull(), "resolved").otherwise("open")
@@ -40,19 +61,26 @@ def still_open(signals: DataFrame, outcome: DataFrame, raised_now: DataFrame, ju
     return held.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("run"))).where("place = 1").drop("place")
 
 
+def examined(feedback: DataFrame, resolved: DataFrame) -> DataFrame:
+    """signal_id of the signals that someone looked into before they were resolved. resolved: signal_id, until_ms (null: not yet)."""
+    asked = feedback.where(F.col("kind").isin("investigated", "evidence_requested", "acked"))
+    return asked.join(resolved, "signal_id").where("until_ms is null or at_ms <= until_ms").select("signal_id").distinct()
+
+
 def judgement(feedback: DataFrame) -> DataFrame:
-    """signal_id, judgement: wrong if anyone said so, else acting."""
+    """signal_id, judgement: wrong if anyone said so, else acting. It holds whenever it was made, before a fix or after."""
     level = F.when(F.col("kind") == "dismissed", 2).when(F.col("kind") == "acked", 1)
     return feedback.where(level.isNotNull()).groupBy("signal_id").agg(F.max(level).alias("level")).select("signal_id", F.when(F.col("level") == 2, "wrong").otherwise("acting").alias("judgement"))
 
 
 def scorecard(signals: DataFrame) -> DataFrame:
-    """A row for each kind and one for all (kind null): raised, resolved, recurred, open, examined, dismissed and rates.
+    """A row for each kind and one for all (kind null): raised, judged (with a verdict), resolved, recurred, open, examined,
+    dismissed and rates; resolved_rate is of those judged.
 
     signals: kind, status, examined and dismissed (booleans).
     """
     out = signals.rollup("kind").agg(
-        F.count("*").alias("raised"), F.count_if(F.col("status") == "resolved").alias("resolved"), F.count_if((F.col("status") == "resolved") & ~F.col("examined")).alias("resolved_unexamined"),
+        F.count("*").alias("raised"), F.count_if(F.col("status") != "unknown").alias("judged"), F.count_if(F.col("status") == "resolved").alias("resolved"), F.count_if((F.col("status") == "resolved") & ~F.col("examined")).alias("resolved_unexamined"),
         F.count_if(F.col("status") == "recurred").alias("recurred"), F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("examined")).alias("examined"), F.count_if(F.col("dismissed")).alias("dismissed"),
     )
     return out.withColumn("resolved_rate", rate(F.col("resolved"), F.col("raised"))).withColumn("dismissed_rate", rate(F.col("dismissed"), F.col("raised")))

@@ -92,7 +92,7 @@ def assemble(runs: DataFrame, counts: DataFrame, cells: DataFrame, streams: Data
     of_request = F.col("measures")["queries"]
     facts = facts.select(
         "run_id", "behavior", "kind", "template", "count", "errors", "stream", "seq", "measures", "unattributed", "unscoped", "scopes", "units", "sole", "size",
-        F.when(F.col("kind") == "test.example", made).when(F.col("kind") == "http.request", of_request).alias("queries"), F.greatest(of_request - F.col("scoped_queries"), F.lit(0.0)).alias("loose_queries"),
+        F.when(F.col("kind") == "test.example", made).when(F.col("kind") == "http.request", of_request).alias("queries"), F.greatest(of_request - F.coalesce("scoped_queries", F.lit(0.0)), F.lit(0.0)).alias("loose_queries"),
         (F.col("total_us") / 1000.0).alias("total_ms"), F.when(F.col("timed") > 0, F.col("total_us") / 1000.0 / F.col("timed")).alias("ms"), F.coalesce("reasons", F.array().cast("array<struct<behavior:string,template:string>>")).alias("reasons"),
     )
     known = runs.join(per_run.select("run_id", "past_cap"), "run_id", "left").withColumn("past_cap", zero("past_cap"))

@@ -1,4 +1,4 @@
-"""The queries that judge all users, against their SQL; the older ones of like names judge users below 3 only."""
+"""Queries that judge the scopes of all users, against their SQL."""
 
 import datetime
 
@@ -19,7 +19,7 @@ def events(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["signal_owners_whole", "scoped_values_whole"])
+@pytest.mark.parametrize("name", ["signal_owners", "scoped_values"])
 def test_all_users_count(spark, events, name):
     got = QUERIES[name](spark, events)
     con = duckdb.connect()
@@ -28,7 +28,7 @@ def test_all_users_count(spark, events, name):
     columns = [c[0] for c in want.description]
     rows = {tuple(r[c] for c in columns) for r in got.collect()}
     assert sorted(columns) == sorted(got.columns) and rows == set(want.fetchall())
-    if name == "signal_owners_whole":
+    if name == "signal_owners":
         assert {r[columns.index("owner")] for r in rows if r[columns.index("run")] == "2024-01-03" and r[columns.index("user_id")] == 7} == {"view"}
     else:
         assert {r[columns.index("scope_id")] for r in rows} == {0, 7, 9, None}

@@ -39,3 +39,10 @@ def collapse_lists(template: Column) -> Column:
 def collapse_binds(sql: Column) -> Column:
     """Lists of bind marks, ?, ? or $1, $2, are one ?."""
     return F.regexp_replace(sql, r"(?:\?|\$\d+)(?:\s*,\s*(?:\?|\$\d+))*", "?")
+
+
+def url_template(url: Column) -> Column:
+    """host and template of a URL without query or fragment: whole numbers in its path are masked."""
+    plain = F.regexp_replace(url, r"[?#].*$", "")
+    host, path = F.regexp_extract(plain, r"^[a-z]+://([^/]+)", 1), F.regexp_replace(plain, r"^[a-z]+://[^/]+", "")
+    return F.struct(host.alias("host"), F.regexp_replace(path, r"[0-9]+", "<int>").alias("template"))

@@ -48,6 +48,6 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def rate(part: Column, whole: Column) -> Column:
-    """part / whole with a digit for each ten of the denominator's size: 1 below 10, 2 below 100, else 3."""
+    """part / whole to as many significant digits as the denominator backs: 1 below 10, 2 below 100, else 3."""
     exact = part.cast("double") / whole.cast("double")
-    return F.when(whole <= 0, F.lit(None)).when(whole < 10, F.round(exact, 1)).when(whole < 100, F.round(exact, 2)).otherwise(F.round(exact, 3))
+    return F.when(whole <= 0, F.lit(None)).when(whole < 10, round_sig(exact, 1)).when(whole < 100, round_sig(exact, 2)).otherwise(round_sig(exact, 3))

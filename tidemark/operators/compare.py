@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rules
+from .ranges import beside
 
 LIMIT = 10
 
@@ -95,8 +96,7 @@ def slowdowns(compared: DataFrame, order: str) -> DataFrame:
     from ..functions.numbers import median_of
 
     rows = compared.withColumn("slow", F.when(F.col("now") & (F.size("vals") > 0), F.col("current") - median_of(F.col("vals"))))
-    w = Window.partitionBy("context", "run").orderBy(order)
-    rows = rows.withColumn("neighbour", F.greatest(F.lag("slow").over(w), F.lead("slow").over(w)))
+    rows = beside(rows, ["context", "run"], [order], {"slow": "slow"}).withColumn("neighbour", F.greatest("before_slow", "after_slow")).drop("before_slow", "after_slow")
     # only the largest can veto: one more of them than the rule asks for is enough to know
     cohort = largest(rows.where("slow > 0"), ["context", "run"], "slow", rules.COHORT_PEERS + 1, "slowdowns")
     return rows.join(cohort, ["context", "run"], "left")

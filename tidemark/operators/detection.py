@@ -19,6 +19,7 @@ from ..functions.ids import behavior_ids
 from ..functions.numbers import median_of, round_sig
 from ..sources.scratch import discard, materialise
 from . import aggregate, baseline, compare, detect, rules
+from .ranges import beside
 
 RUNNER = "file:rspec-events"
 INSIDE = r"^(example|request):"
@@ -219,8 +220,7 @@ def _unstalled(found: DataFrame, rows: DataFrame, stats: Stats, bases: DataFrame
     window = own.unionByName(base).groupBy("case", "kind").agg(F.max("window_now").alias("window_now"), F.filter(F.collect_list("base"), lambda v: v > 0).alias("window"))
     # examples in the order they ran, and how much slower each was; the few largest are enough to veto
     timed = rows.where("class = 'example' and now is not null").join(some, "case", "left_semi").select("case", "behavior", F.col("now.seq").alias("seq"), (F.col("now.ms") - median_of(F.filter(F.transform("then", lambda x: x["ms"]), lambda v: v.isNotNull()))).alias("slow"))
-    beside = Window.partitionBy("case").orderBy("seq", "behavior")
-    near = timed.withColumn("neighbour", F.greatest(F.lag("slow").over(beside), F.lead("slow").over(beside))).select("case", "behavior", "neighbour")
+    near = beside(timed, ["case"], ["seq", "behavior"], {"slow": "slow"}).select("case", "behavior", F.greatest("before_slow", "after_slow").alias("neighbour"))
     most = compare.largest(timed.where("slow > 0"), ["case"], "slow", rules.COHORT_PEERS + 1, "slowdowns")
     checked = slow.join(window, ["case", "kind"], "left").join(near, ["case", "behavior"], "left").join(most, "case", "left")
     example = F.col("class") == "example"

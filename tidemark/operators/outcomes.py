@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rate
 from ..sources.scratch import materialise
-from . import detection
+from . import detection, rules
 
 # How much of a context is kept unless asked otherwise.
 KEEP_STATS_RUNS, KEEP_EVIDENCE_RUNS, LIVE_RUNS, IDLE_DAYS = 200, 20, 21, 90
@@ -74,16 +74,32 @@ def judgement(feedback: DataFrame) -> DataFrame:
 
 
 def scorecard(signals: DataFrame) -> DataFrame:
-    """A row for each kind and one for all (kind null): raised, judged (with a verdict), resolved, recurred, open, examined,
-    dismissed and rates; resolved_rate is of those judged.
+    """A row for each kind and one for all (kind null): how many signals were raised and judged, and what became of the latter.
 
+    A signal without a verdict (status unknown) counts as raised only: we can't tell, so no rate may hold it.
     signals: kind, status, examined and dismissed (booleans).
     """
+    judged, said = F.col("status") != "unknown", lambda s: F.col("status") == s
     out = signals.rollup("kind").agg(
-        F.count("*").alias("raised"), F.count_if(F.col("status") != "unknown").alias("judged"), F.count_if(F.col("status") == "resolved").alias("resolved"), F.count_if((F.col("status") == "resolved") & ~F.col("examined")).alias("resolved_unexamined"),
-        F.count_if(F.col("status") == "recurred").alias("recurred"), F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("examined")).alias("examined"), F.count_if(F.col("dismissed")).alias("dismissed"),
+        F.count("*").alias("raised"), F.count_if(judged).alias("judged"), F.count_if(~judged).alias("unjudged"), F.count_if(judged & F.col("examined")).alias("examined"), F.count_if(judged & F.col("dismissed")).alias("dismissed"),
+        F.count_if(said("resolved")).alias("resolved"), F.count_if(said("resolved") & ~F.col("examined")).alias("resolved_unexamined"), F.count_if(said("recurred")).alias("recurred"), F.count_if(said("open")).alias("open"),
     )
-    return out.withColumn("resolved_rate", rate(F.col("resolved"), F.col("raised"))).withColumn("dismissed_rate", rate(F.col("dismissed"), F.col("raised")))
+    return out.withColumn("examined_rate", rate(F.col("examined"), F.col("judged"))).withColumn("unexamined_rate", rate(F.col("resolved_unexamined"), F.col("resolved")))
+
+
+def frequency_votes(found: DataFrame, aggregates: DataFrame, runs: DataFrame, behavior: list[str], value: str = "count") -> DataFrame:
+    """context, run, behavior columns, ord, firing: whether each later run of a context repeats a change of frequency.
+
+    found: compare.frequency(); a later run is judged by the numbers of the signal's own baseline, so no run is compared again.
+    """
+    own = found.select("context", "run", *behavior, "min", "max", "median", "exact").join(runs.select("context", "run", F.col("ord").alias("own_ord")), ["context", "run"])
+    later = runs.select("context", F.col("run").alias("later"), "ord")
+    asked = own.join(later, "context").where("ord > own_ord")  # a row for each vote
+    then = aggregates.select("context", F.col("run").alias("later"), *behavior, F.col(value).cast("double").alias("then"))
+    rows = asked.join(then, ["context", "later", *behavior], "left")
+    out = (F.col("then") < F.col("min")) | (F.col("then") > F.col("max"))
+    far = F.abs(F.col("then") - F.col("median")) > rules.VARYING_WIDTHS * (F.col("max") - F.col("min"))
+    return rows.select("context", "run", *behavior, "ord", F.coalesce(out & (F.col("exact") | far), F.lit(False)).alias("firing"))
 
 
 def retention_plan(runs: DataFrame, stats_runs: int = KEEP_STATS_RUNS, evidence_runs: int = KEEP_EVIDENCE_RUNS, idle_before: str | None = None) -> DataFrame:

@@ -29,3 +29,9 @@ def within(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, s
     r = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - (0 if closed else 1)) / width)))) if closed else ranges.where(F.col(end) > F.col(start)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
     upper = F.col(at) <= F.col(end) if closed else F.col(at) < F.col(end)
     return p.join(r, [*keys, "_bucket"]).where((F.col(start) <= F.col(at)) & upper).drop("_bucket")
+
+
+def beside(rows: DataFrame, keys: Sequence[str], order: Sequence[str], take: dict[str, str]) -> DataFrame:
+    """rows with the values of those just before and after them in order, within keys: before_x and after_x for each x of take."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumns({f"before_{name}": F.lag(c).over(w) for name, c in take.items()} | {f"after_{name}": F.lead(c).over(w) for name, c in take.items()})

@@ -33,6 +33,12 @@ def changes(ranked: DataFrame, most: int) -> DataFrame:
     return ranked.where(F.col("group_rank") <= most).join(totals, ["context", "run"])
 
 
+def summary(stats: DataFrame, by: str = "count", most: int = 20) -> DataFrame:
+    """The behaviors of most occurrences, or with by="time" of most time, then of most occurrences; ties by behavior_id."""
+    order = [F.desc("count"), "behavior_id"] if by == "count" else [F.desc("duration_total_us"), F.desc("count"), "behavior_id"]
+    return stats.orderBy(*order).limit(most)
+
+
 def runs_after(runs: DataFrame, context: str, run: str) -> DataFrame:
     """Finished, uninterrupted runs of a context after one of them, oldest first. runs: context, run, finished, interrupted."""
     return runs.where((F.col("context") == context) & (F.col("run") > run) & F.col("finished") & ~F.coalesce("interrupted", F.lit(False))).orderBy("run")

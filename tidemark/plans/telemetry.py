@@ -5,11 +5,11 @@ Each has DuckDB SQL written another way: the SQL joins runs with runs, where the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import median_of, share
-from ..operators import aggregate, compare, outcomes
+from ..operators import aggregate, compare, outcomes, reads
 from ..registry import query
 
 BEHAVIOR = ["event_type", "user_id"]
@@ -53,8 +53,8 @@ w AS (SELECT c.run, c.ord, least(c.ord - 1, 10) AS n, {keys},
                 CAST(sum(us) AS BIGINT) AS total_us, max(us) AS max_us FROM e GROUP BY run, event_type"""
 )
 def run_behavior_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = day_events(spark, sf_dir)
-    return e.groupBy("run", "event_type").agg(F.count("*").alias("count"), F.count_if(F.col("outcome") == "failure").alias("errors"), F.sum("duration_us").alias("total_us"), F.max("duration_us").alias("max_us"))
+    stats = aggregate.behavior_stats(day_events(spark, sf_dir), ["run", "event_type"])
+    return stats.select("run", "event_type", "count", "errors", F.col("duration_total_us").alias("total_us"), "max_us")
 
 
 HISTOGRAM = (
@@ -302,13 +302,8 @@ g AS (SELECT run, user_id, resolved_in, recurred_in, recurrences, CASE WHEN firi
 def judged_frequencies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The changed counts of users, and the votes of later days, each against the signal's own baseline."""
     a, runs = counts(spark, sf_dir, ["user_id"])
-    found = compare.frequency(compare.wide(a, runs, ["user_id"]), ["user_id"]).join(runs.select("run", "ord"), "run")
-    later = found.join(runs.select(F.col("run").alias("later"), F.col("ord").alias("later_ord")), F.col("later_ord") > F.col("ord"))
-    then = a.select(F.col("run").alias("later"), "user_id", F.col("count").cast("double").alias("then"))
-    votes = later.join(then, ["later", "user_id"], "left")
-    out = (F.col("then") < F.col("min")) | (F.col("then") > F.col("max"))
-    fires = F.coalesce(out & (F.col("exact") | (F.abs(F.col("then") - F.col("median")) > 2.0 * (F.col("max") - F.col("min")))), F.lit(False))
-    return found, votes.select("run", "user_id", F.col("later_ord").alias("ord"), fires.alias("firing"))
+    found = compare.frequency(compare.wide(a, runs, ["user_id"]), ["user_id"])
+    return found, outcomes.frequency_votes(found, a, runs, ["user_id"])
 
 
 @query(OUTCOME + "SELECT run, user_id, status, resolved_in, recurred_in, recurrences FROM g")
@@ -321,11 +316,13 @@ def signal_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     OUTCOME
     + """, k AS (SELECT s.run, s.user_id, CASE WHEN lo = hi THEN 'exact' ELSE 'varying' END AS kind, coalesce(g.status, 'open') AS status, s.user_id % 3 = 0 AS examined, s.user_id % 7 = 0 AS dismissed
       FROM s LEFT JOIN g ON g.run = s.run AND g.user_id = s.user_id),
-t AS (SELECT kind, count(*) AS raised, count(*) FILTER (WHERE status = 'resolved') AS resolved, count(*) FILTER (WHERE status = 'resolved' AND NOT examined) AS resolved_unexamined,
-             count(*) FILTER (WHERE status = 'recurred') AS recurred, count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE examined) AS examined, count(*) FILTER (WHERE dismissed) AS dismissed
-      FROM k GROUP BY ROLLUP (kind))
-SELECT *, CASE WHEN raised < 10 THEN round(resolved::DOUBLE / raised, 1) WHEN raised < 100 THEN round(resolved::DOUBLE / raised, 2) ELSE round(resolved::DOUBLE / raised, 3) END AS resolved_rate,
-          CASE WHEN raised < 10 THEN round(dismissed::DOUBLE / raised, 1) WHEN raised < 100 THEN round(dismissed::DOUBLE / raised, 2) ELSE round(dismissed::DOUBLE / raised, 3) END AS dismissed_rate FROM t"""
+t AS (SELECT kind, count(*) AS raised, count(*) FILTER (WHERE status <> 'unknown') AS judged, count(*) FILTER (WHERE status = 'unknown') AS unjudged, count(*) FILTER (WHERE examined) AS examined, count(*) FILTER (WHERE dismissed) AS dismissed,
+             count(*) FILTER (WHERE status = 'resolved') AS resolved, count(*) FILTER (WHERE status = 'resolved' AND NOT examined) AS resolved_unexamined, count(*) FILTER (WHERE status = 'recurred') AS recurred, count(*) FILTER (WHERE status = 'open') AS open
+      FROM k GROUP BY ROLLUP (kind)),
+d AS (SELECT *, examined::DOUBLE / nullif(judged, 0) AS x, CASE WHEN judged < 10 THEN 1 WHEN judged < 100 THEN 2 ELSE 3 END AS xd,
+             resolved_unexamined::DOUBLE / nullif(resolved, 0) AS y, CASE WHEN resolved < 10 THEN 1 WHEN resolved < 100 THEN 2 ELSE 3 END AS yd FROM t)
+SELECT kind, raised, judged, unjudged, examined, dismissed, resolved, resolved_unexamined, recurred, open,
+       CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round(x, CAST(xd - 1 - floor(log10(x)) AS INT)) END AS examined_rate, CASE WHEN y = 0 THEN 0.0::DOUBLE ELSE round(y, CAST(yd - 1 - floor(log10(y)) AS INT)) END AS unexamined_rate FROM d"""
 )
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By how the baseline stood; a third of users counts as examined, a seventh as dismissed."""
@@ -345,12 +342,12 @@ TOTALS = DAYS + ", s AS (SELECT 'all' AS run_id, user_id AS behavior_id, count(*
 
 @query(TOTALS + "SELECT behavior_id, count, errors FROM s ORDER BY count DESC, behavior_id LIMIT 20")
 def summary_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(spark, sf_dir).orderBy(F.desc("count"), "behavior_id").limit(20).select("behavior_id", "count", "errors")
+    return reads.summary(totals(spark, sf_dir)).select("behavior_id", "count", "errors")
 
 
 @query(TOTALS + "SELECT behavior_id, duration_total_us, count FROM s ORDER BY duration_total_us DESC, count DESC, behavior_id LIMIT 20")
 def summary_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(spark, sf_dir).orderBy(F.desc("duration_total_us"), F.desc("count"), "behavior_id").limit(20).select("behavior_id", "duration_total_us", "count")
+    return reads.summary(totals(spark, sf_dir), "time").select("behavior_id", "duration_total_us", "count")
 
 
 @query(
@@ -385,7 +382,7 @@ def slot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id AS behavior_id, CAST(p - 1 AS INT) AS position, turn AS seq, substr(text, 1, 1024) AS line FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM conversations) WHERE p <= 3")
 def exemplars_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three turns of each conversation."""
+    """The first three turns of each conversation: of the kept lines, those that don't depend on a hash."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     lines = c.select(F.lit("all").alias("run_id"), F.col("conv_id").alias("behavior_id"), F.struct("turn", "role", "text").alias("arrival"), F.lit("stdout").alias("stream"), F.col("turn").alias("seq"), F.col("text").alias("line"))
     return aggregate.exemplars(lines, first=3).where("position < 3").select("behavior_id", "position", "seq", "line")
@@ -451,26 +448,9 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, role, lag(role) OVER w AS before_role, lead(role) OVER w AS after_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return rows_of(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("before_role"), F.lead("role").over(w).alias("after_role"))
-
-
-@query(
-    DAYS
-    + """, a AS (SELECT r.ord, event_type, user_id, CAST(count(*) AS DOUBLE) AS v FROM e JOIN r USING (run) GROUP BY ALL),
-k AS (SELECT DISTINCT c.ord, event_type, user_id FROM r c JOIN a ON a.ord BETWEEN c.ord - 10 AND c.ord WHERE c.ord > 1),
-v AS (SELECT k.*, b.ord AS base, coalesce(a.v, 0.0) AS v FROM k JOIN r b ON b.ord BETWEEN k.ord - 10 AND k.ord - 1 LEFT JOIN a ON a.ord = b.ord AND a.event_type = k.event_type AND a.user_id = k.user_id),
-m AS (SELECT ord, event_type, user_id, median(v) AS middle FROM v GROUP BY ALL),
-o AS (SELECT m.*, coalesce(a.v, 0.0) AS own FROM m LEFT JOIN a USING (ord, event_type, user_id) WHERE user_id < 3 AND coalesce(a.v, 0.0) <> middle)
-SELECT run, event_type, max(user_id) AS owner, max(own) AS owner_current, max(middle) AS owner_median FROM o JOIN r USING (ord) GROUP BY run, event_type HAVING count(*) = 1"""
-)
-def signal_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users below 3 as the scopes of an event type."""
-    from ..operators.detect import owners
+    from ..operators.ranges import beside
 
-    e = day_events(spark, sf_dir)
-    scopes = e.where("user_id < 3").groupBy("context", "run", "event_type", F.col("user_id").alias("scope_id")).agg(F.count("*").alias("count"))
-    return owners(scopes, day_runs(e), ["event_type"]).drop("context")
+    return beside(rows_of(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role", "text"], {"role": "role"}).select("conv_id", "turn", "role", "before_role", "after_role")
 
 
 @query(
@@ -482,7 +462,7 @@ m AS (SELECT ord, event_type, user_id, median(v) AS middle FROM v GROUP BY ALL),
 o AS (SELECT m.*, coalesce(a.v, 0.0) AS own FROM m LEFT JOIN a ON a.ord = m.ord AND a.event_type = m.event_type AND a.user_id IS NOT DISTINCT FROM m.user_id WHERE coalesce(a.v, 0.0) <> middle)
 SELECT run, user_id, max(event_type) AS owner, max(own) AS owner_current, max(middle) AS owner_median FROM o JOIN r USING (ord) GROUP BY run, user_id HAVING count(*) = 1"""
 )
-def signal_owners_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signal_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as the scopes of a user, over all rows."""
     from ..operators.detect import owners
 

@@ -44,9 +44,8 @@ t AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_replace
 SELECT host, template, count(*) AS n FROM t GROUP BY ALL"""
 )
 def url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.regexp_replace("url", r"[?#].*$", "")
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_extract(url, r"^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://[^/]+", ""), r"[0-9]+", "<int>").alias("template"))
-    return p.groupBy("host", "template").agg(F.count("*").alias("n"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(masks.url_template(F.col("url")).alias("u"))
+    return p.groupBy("u.host", "u.template").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -67,17 +67,16 @@ def template_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document line's exact template, with its behavior id and count."""
     from ..functions.ids import behavior_ids
-    from ..functions.normalize import normalized
+    from ..functions.normalize import template_of
 
-    n = normalized(lines(spark, sf_dir).where("line <> ''"), "line")
-    counted = n.groupBy(F.col("normal.template").alias("template")).agg(F.count("*").alias("n"))
+    counted = lines(spark, sf_dir).where("line <> ''").groupBy(template_of(F.col("line")).alias("template")).agg(F.count("*").alias("n"))
     return counted.withColumn("behavior_id", behavior_ids(F.lit("log"), F.col("template")))
 
 
 @query()
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents that hold secrets or personal data, as they may be kept."""
+    """Lines of documents that hold secrets or personal data, as they may be kept; each document numbers its own."""
     from ..functions.redact import redact
 
-    rows = lines(spark, sf_dir).select(F.lit("all").alias("run_id"), F.col("doc_id").alias("feed"), F.col("doc_id").cast("string").alias("stream"), "seq", "line")
+    rows = lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("run_id"), F.col("doc_id").alias("feed"), F.col("doc_id").cast("string").alias("stream"), "seq", "line")
     return redact(rows, "pii").where("evidence <> line").select(F.col("feed").alias("doc_id"), "seq", "evidence", "masked")

@@ -1,7 +1,9 @@
-"""Runs and what is known of them, as Parquet tables partitioned by context.
+"""Runs and what is known of them, as Parquet tables with a folder a run.
 
-A run's tables are written first, under its own folder, and its row in runs last: a run without that row does not exist
-to readers, so a lost write leaves nothing behind that is read. Feedback is append-only.
+A run's row is appended when it begins, again when it is finished, after its tables are whole, and again when something of
+it is pruned, before that is deleted; the row of the highest version holds. So to readers a run exists once its tables do,
+a lost write leaves nothing behind that is read, and what is gone is known to be gone. Behaviors are written once, by the
+first run that has them. Feedback is append-only.
 """
 
 from __future__ import annotations
@@ -9,22 +11,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
-RUNS = "run_id string, project string, context string, command string, cwd string, started_at_ms long, wall_ms long, exit_code int, lines long, interrupted boolean, uncompared long, stats_pruned boolean, evidence_pruned boolean"
+from ..functions.redact import redact_text
+
+SCHEMA_VERSION = 2
+RUNS = "run_id string, project string, context string, command string, cwd string, started_at_ms long, wall_ms long, exit_code int, lines long, interrupted boolean, uncompared long, stats_pruned boolean, evidence_pruned boolean, version int"
 FEEDBACK = "at_ms long, kind string, run_id string, behavior_id string, signal_id string, note string"
-TABLES = ("behaviors", "aggregates", "aggregate_measures", "aggregate_scopes", "aggregate_scope_sums", "exemplars", "signals", "run_sources", "captures")
+#: Tables of a run by what pruning takes them with.
+TIERS = {"stats": ("aggregates", "aggregate_measures", "aggregate_scopes", "aggregate_scope_sums", "signals", "run_sources", "run_baselines"), "evidence": ("exemplars", "captures")}
+TABLES = (*TIERS["stats"], *TIERS["evidence"])
+#: Columns that hold lines as they came.
+TEXTS = {"exemplars": "line", "captures": "line", "feedback": "note"}
+MOST_SIGNALS = 1_000
+
+
+class Pruned(LookupError):
+    """A run that was asked for had what was asked for pruned."""
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _has(self, path: str) -> bool:
+    def _path(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def finish(self, run: dict, tables: dict[str, DataFrame], most_signals: int = 1_000) -> None:
-        """Writes a run's tables, then its row. Interrupted runs keep no signals; a flood is counted, not kept."""
+    def _has(self, path: str) -> bool:
+        p, fs = self._path(path)
+        return fs.exists(p)
+
+    def _delete(self, path: str) -> None:
+        p, fs = self._path(path)
+        fs.delete(p, True)
+
+    def _append(self, run: dict, version: int) -> None:
+        row = run | {"version": version}
+        self.spark.createDataFrame([tuple(row.get(f.split()[0]) for f in RUNS.split(", "))], RUNS).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+
+    def begin(self, run: dict) -> None:
+        """A run's row before anything of it is known; it is no finished run yet."""
+        self._append(run, 0)
+
+    def finish(self, run: dict, tables: dict[str, DataFrame], most_signals: int = MOST_SIGNALS) -> None:
+        """Writes a run's tables (and behaviors: those not known yet), then its row. Interrupted runs keep no signals; a flood
+        of signals is counted, not kept."""
+        for name in tables:
+            if name not in (*TABLES, "behaviors"):
+                raise ValueError(f"no table is named {name}")
         signals = tables.get("signals")
         if signals is not None:
             found = signals.limit(most_signals + 1).count()
@@ -32,47 +65,130 @@ class Store:
                 run = run | {"uncompared": None if run.get("interrupted") else signals.count()}
                 tables = {k: v for k, v in tables.items() if k != "signals"}
         for name, df in tables.items():
-            if name not in TABLES:
-                raise ValueError(f"no table is named {name}")
+            if name == "behaviors":
+                df = df.drop("run_id").dropDuplicates(["behavior_id"])
+                df = df.join(self.behaviors().select("behavior_id"), "behavior_id", "left_anti") if self._has(f"{self.root}/behaviors") else df
             df.drop("run_id").write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run['run_id']}")
-        names = [f.split()[0] for f in RUNS.split(", ")]
-        self.spark.createDataFrame([tuple(run.get(n) for n in names)], RUNS).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        self._append(run, 1)
 
-    def runs(self) -> DataFrame:
+    def _latest(self) -> DataFrame:
         if not self._has(f"{self.root}/runs"):
             return self.spark.createDataFrame([], RUNS)
-        return self.spark.read.schema(RUNS).parquet(f"{self.root}/runs")
+        rows = self.spark.read.schema(RUNS).parquet(f"{self.root}/runs")
+        return rows.groupBy("run_id").agg(F.max_by(F.struct(*rows.columns), "version").alias("r")).select("r.*")
+
+    def runs(self) -> DataFrame:
+        """Finished runs."""
+        return self._latest().where("version > 0")
+
+    def unfinished(self) -> DataFrame:
+        """Runs that began and were never finished."""
+        return self._latest().where("version = 0")
 
     def usable(self, context: str) -> DataFrame:
         """Finished runs of a context that may be a baseline, newest first."""
         return self.runs().where((F.col("context") == context) & ~F.coalesce("interrupted", F.lit(False)) & ~F.coalesce("stats_pruned", F.lit(False))).orderBy(F.desc("started_at_ms"), F.desc("run_id"))
 
-    def table(self, name: str, tier: str = "stats") -> DataFrame:
-        """Rows of published runs only. Runs whose tier was pruned are an error where they are asked for, never empty."""
+    def table(self, name: str, run_ids: list[str] | None = None) -> DataFrame:
+        """Rows of finished runs: of those named, or of all that still have them. A run that is named must have them: one that
+        isn't known is a LookupError, one whose rows were pruned is Pruned; never is it read as empty."""
+        tier = "evidence" if name in TIERS["evidence"] else "stats"
+        gone = F.coalesce(f"{tier}_pruned", F.lit(False))
+        if run_ids is not None:
+            known = {r["run_id"]: r["gone"] for r in self.runs().where(F.col("run_id").isin(run_ids)).select("run_id", gone.alias("gone")).collect()}
+            for r in run_ids:
+                if r not in known:
+                    raise LookupError(f"no finished run is named {r}")
+                if known[r]:
+                    raise Pruned(f"the {tier} of {r} were pruned")
         if not self._has(f"{self.root}/{name}"):
             raise FileNotFoundError(f"{name} was never written")
         rows = self.spark.read.parquet(f"{self.root}/{name}").withColumn("run_id", F.col("run_id").cast("string"))
-        kept = self.runs().where(~F.coalesce(f"{tier}_pruned", F.lit(False))).select("run_id").distinct()
-        return rows.join(kept, "run_id", "left_semi")
+        if run_ids is not None:
+            return rows.where(F.col("run_id").isin(run_ids))
+        return rows.join(self.runs().where(~gone).select("run_id"), "run_id", "left_semi")
+
+    def behaviors(self) -> DataFrame:
+        """Each behavior once, also those of runs that were lost before they were finished: they are the same wherever they are seen."""
+        if not self._has(f"{self.root}/behaviors"):
+            raise FileNotFoundError("behaviors was never written")
+        return self.spark.read.parquet(f"{self.root}/behaviors").drop("run_id").dropDuplicates(["behavior_id"])
 
     def resolve(self, prefix: str) -> str:
         """The behavior that a prefix of at least four hex digits names; none or two is an error."""
         if len(prefix) < 4 or any(c not in "0123456789abcdef" for c in prefix):
             raise ValueError("a prefix has four to sixteen hex digits")
-        found = self.table("behaviors").where(F.col("behavior_id").startswith(prefix)).select("behavior_id").distinct().limit(2).collect()
+        found = self.behaviors().where(F.col("behavior_id").startswith(prefix)).select("behavior_id").limit(2).collect()
         if len(found) != 1:
             raise LookupError(f"{prefix} names {'no' if not found else 'more than one'} behavior")
         return found[0][0]
 
-    def feedback(self, rows: list[dict]) -> None:
-        """Appends all rows or none."""
+    def stats(self, run_ids: list[str] | None = None) -> DataFrame:
+        """aggregates with what their behaviors are; where none noted its first place, the first kept line's."""
+        rows = self.table("aggregates", run_ids)
+        if "first_stream" in rows.columns and self._has(f"{self.root}/exemplars"):
+            kept = self.table("exemplars").groupBy("run_id", "behavior_id").agg(F.min_by(F.struct("stream", "seq"), "position").alias("kept"))
+            rows = rows.join(kept, ["run_id", "behavior_id"], "left").withColumns({"first_seq": F.coalesce(F.when(F.col("first_stream").isNotNull(), F.col("first_seq")), "kept.seq"), "first_stream": F.coalesce("first_stream", "kept.stream")}).drop("kept")
+        return rows.join(self.behaviors(), "behavior_id")
+
+    def signals(self, run_ids: list[str] | None = None) -> DataFrame:
+        """signals with what their behaviors are, and the name of the behavior that their scope is, if it is one."""
+        named = self.behaviors()
+        scope = named.select(F.col("behavior_id").alias("scope_id"), F.col("template").alias("scope_template"))
+        return self.table("signals", run_ids).join(named.withColumnRenamed("kind", "behavior_kind"), "behavior_id").join(scope, "scope_id", "left")
+
+    def counts(self) -> dict[str, int]:
+        """How many finished runs, contexts and behaviors there are."""
+        row = self.runs().agg(F.count("*"), F.count_distinct("context")).first()
+        return {"runs": row[0], "contexts": row[1], "behaviors": self.behaviors().count() if self._has(f"{self.root}/behaviors") else 0}
+
+    def prune(self, plan: DataFrame) -> int:
+        """Applies a plan (run, action) of outcomes.retention_plan: stats go with their evidence. Returns how many runs it took
+        something of. A run's row says so before its files go, so no reader meets a part of them."""
+        plan = plan.select(F.col("run").cast("string").alias("run_id"), "action")
+        todo = self.runs().join(plan, "run_id").where("not coalesce(stats_pruned, false) and not (action = 'evidence' and coalesce(evidence_pruned, false))").collect()  # a row a run to prune
+        for r in todo:
+            run = r.asDict()
+            action = run.pop("action")
+            self._append(run | {"evidence_pruned": True, "stats_pruned": action == "stats"}, run["version"] + 1)
+            for name in (*TIERS["evidence"], *(TIERS["stats"] if action == "stats" else ())):
+                self._delete(f"{self.root}/{name}/run_id={run['run_id']}")
+        return len(todo)
+
+    def feedback(self, rows: list[dict], mode: str = "secrets") -> None:
+        """Appends all rows or none; notes without the secrets in them."""
         names = [f.split()[0] for f in FEEDBACK.split(", ")]
-        self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], FEEDBACK).coalesce(1).write.mode("append").parquet(f"{self.root}/feedback")
+        df = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], FEEDBACK)
+        df.withColumn("note", redact_text(F.col("note"), mode)).coalesce(1).write.mode("append").parquet(f"{self.root}/feedback")
 
     def feedback_rows(self) -> DataFrame:
         return self.spark.read.schema(FEEDBACK).parquet(f"{self.root}/feedback") if self._has(f"{self.root}/feedback") else self.spark.createDataFrame([], FEEDBACK)
 
+    def scrub(self, mode: str = "secrets") -> None:
+        """Takes secrets out of lines and notes that an older store kept as they came.
+
+        Each table is written anew beside the old one and put in its place when it is whole; done again, it changes nothing.
+        """
+        for name, text in TEXTS.items():
+            old, new = f"{self.root}/{name}", f"{self.root}/_scrubbed_{name}"
+            if self._has(old):
+                rows = self.spark.read.parquet(old)
+                self._delete(new)
+                writer = rows.withColumn(text, redact_text(F.col(text), mode)).write
+                (writer.partitionBy("run_id") if name in TABLES else writer).parquet(new)
+                self._delete(old)
+                p, fs = self._path(new)
+                fs.rename(p, self._path(old)[0])
+
 
 def documents(rows: DataFrame) -> DataFrame:
     """A JSON document a row."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("document"))
+
+
+def report(ranked: DataFrame) -> DataFrame:
+    """A JSON document a run of ranked signals: its groups in order, each with its head and all of its signals."""
+    one = F.struct("place", "behavior", "kind", "measure", "current", "confidence", "tier")
+    groups = ranked.groupBy("context", "run", "group_rank").agg(F.array_sort(F.collect_list(one)).alias("signals"))
+    runs = groups.groupBy("context", "run").agg(F.array_sort(F.collect_list(F.struct("group_rank", F.col("signals")[0]["behavior"].alias("head"), "signals"))).alias("groups"))
+    return runs.select("context", "run", F.to_json(F.struct("context", "run", F.size("groups").alias("changes"), "groups")).alias("document"))

@@ -1,12 +1,16 @@
-"""Behaviors as they are first seen in a stream of lines, with state bounded by the cap on behaviors."""
+"""Behaviors as they are first seen in a stream of lines, at most so many of them, and running counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.ids import behavior_ids
-from ..functions.normalize import Roots, normalize
+from ..functions.normalize import Roots, template_of
+from ..operators.aggregate import LINE_BYTES, MOST_BEHAVIORS, OVERFLOW
+
+SEEN = "behavior_id string, template string, line string"
 
 
 def tail(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
@@ -14,19 +18,49 @@ def tail(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataF
     return spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(folder).select(F.col("value").alias("line"))
 
 
-def first_seen(lines: DataFrame, roots: Roots | None = None) -> DataFrame:
-    """behavior_id, template, line of each behavior, once over the life of the stream.
+def templated(lines: DataFrame, roots: Roots | None = None) -> DataFrame:
+    """behavior_id, template, line of the lines that are not blank."""
+    seen = lines.where(F.trim("line") != "").withColumn("template", template_of(F.col("line"), roots))
+    return seen.withColumn("behavior_id", behavior_ids(F.lit("log"), F.col("template"))).select("behavior_id", "template", "line")
+
+
+def seen_before(spark: SparkSession, folder: str, batch: int | None = None) -> DataFrame:
+    """What first_seen() has written, of all batches or of those before one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not any(f.getPath().getName().startswith("batch=") for f in fs.listStatus(path)):
+        return spark.createDataFrame([], SEEN)
+    rows = spark.read.schema(SEEN + ", batch long").parquet(folder)
+    return (rows if batch is None else rows.where(F.col("batch") < batch)).select("behavior_id", "template", "line")
+
 
-    The state holds a key a behavior, partitioned by it; lines themselves are not kept.
+def first_seen(lines: DataFrame, folder: str, checkpoint: str, roots: Roots | None = None, most: int = MOST_BEHAVIORS, until_end: bool = False) -> StreamingQuery:
+    """Writes each behavior once, in the batch that first shows it, to a folder by batch; returns the running query.
+
+    What is kept between batches is what was written: at most `most` behaviors and, once others had to be left out, one
+    row that says so (OVERFLOW). Of a batch, those of the lowest ids are taken. A batch that is done again after a failure
+    overwrites itself, so stopping or losing the query at any time loses and repeats nothing. until_end: stop at the end
+    of what is there now.
     """
-    roots = roots or Roots()
-    template = F.udf(lambda line: normalize(line or "", roots).template, "string")
-    seen = lines.where(F.trim("line") != "").withColumn("template", template("line")).withColumn("behavior_id", behavior_ids(F.lit("log"), F.col("template")))
-    return seen.select("behavior_id", "template", "line").dropDuplicates(["behavior_id"])
+
+    def take(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        seen = seen_before(spark, folder, n)
+        known, full = seen.where(F.col("behavior_id") != OVERFLOW).count(), not seen.where(F.col("behavior_id") == OVERFLOW).isEmpty()
+        fresh = templated(batch, roots).groupBy("behavior_id").agg(F.min_by(F.struct("template", "line"), "line").alias("s")).join(F.broadcast(seen), "behavior_id", "left_anti")  # seen has at most `most` rows
+        room = most - known
+        first = fresh.orderBy("behavior_id").limit(room + 1).select("behavior_id", "s.template", F.substring("s.line", 1, LINE_BYTES).alias("line")).persist()
+        out = first.orderBy("behavior_id").limit(room)
+        if first.count() > room and not full:
+            out = out.union(spark.createDataFrame([(OVERFLOW, OVERFLOW, None)], SEEN))
+        out.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        first.unpersist()
+
+    writer = lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if until_end else writer).start()
 
 
 def running_counts(lines: DataFrame, roots: Roots | None = None) -> DataFrame:
-    """template, n over the stream so far, for complete or update output."""
-    roots = roots or Roots()
-    template = F.udf(lambda line: normalize(line or "", roots).template, "string")
-    return lines.where(F.trim("line") != "").groupBy(template("line").alias("template")).agg(F.count("*").alias("n"))
+    """template, n over the stream so far, for complete or update output. The state is a row a template: bound it by bounding
+    the stream, or give first_seen() the cap."""
+    return templated(lines, roots).groupBy("template").agg(F.count("*").alias("n"))

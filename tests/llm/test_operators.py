@@ -599,6 +599,24 @@ def test_token_shards(spark):
     assert tokens.encode(docs(spark, []), path).count() == 0
 
 
+def test_words_have_the_tokenizers_ids():
+    """Words of all sorts of letters and signs, alone and together, twice, against the library itself."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    encoder, plain, r = tokens.WordEncoder(path), Tokenizer.from_file(path), random.Random(12)
+    assert encoder.by_word and encoder.by_letters and encoder.lowers and encoder.parts
+    letters = "abcdefgxyzABCXYZéÉñÑßœŒçøÅİıſŉªºµæÞðǅǆżŠ" + "дЖΣσςאع日ก" + "0123456789²½" + "e\u0301a\u0308" + "'’_-&!.,;:?*#@$%^()[]{}<>|/\\~`+=\"€™\u00ad\u200b\u00a0\u3000"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    words += ["".join(r.choice(letters[:38]) for _ in range(r.randint(1, 12))) + r.choice(["", ",", ".", "!!", "&&&", "'s", "'", "...", "?!", "-_-", "***,", "’s"]) for _ in range(4000)]
+    words += ["<|endoftext|>", "x<|endoftext|>", "endoftext", "İstanbul", "ΟΔΟΣ", "don't.", "a.b", "ab'", "I'll,", "ﬁn", "Ａb", "ﷺ"]
+    texts = [*words, *(" ".join(r.choice(words) for _ in range(30)) for _ in range(100))]
+    for _ in range(2):
+        ids, ends = encoder.encode(texts, 2)
+        for t, got in zip(texts, np.split(ids, ends[:-1]), strict=True):
+            assert got.tolist() == plain.encode(t, add_special_tokens=False).ids + [2], t
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 17])
 def test_wavelet_matrix(bits):
     r = np.random.default_rng(bits)

@@ -41,7 +41,8 @@ KEPT_WORDS = 600_000
 SHARD_TOKENS = 2_000_000
 #: Texts are encoded together until they have so many characters.
 CHUNK_CHARS = 500_000
-ENDINGS = ",."
+#: Letters, then signs: a word of two pieces where the tokenizer says so. No apostrophes, which may belong to letters.
+TAILED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 NULL_ID = -(1 << 63)
 
 
@@ -69,13 +70,17 @@ class WordEncoder:
         if not self.by_word:
             return
         normal, split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.lowers = normal("AZ") == "az"
-        # whether a comma or full stop after letters is a piece of its own
-        self.parts = all([x for x, _ in split(f"ab{c}")] == ["ab", c] for c in ENDINGS)
+        self.letters = _Letters(split)
+        # whether Latin letters are one piece as they are, and signs after them another
+        some, pieces = "abcéßñœ", lambda t: [x for x, _ in split(t)]
+        alike = normal(some) == some and pieces(some) == [some.translate(self.letters)] and not any(t.isalpha() for t in self.special)
+        self.lowers = alike and normal("AZÉÑ") == "azéñ"
+        self.by_letters = alike and (self.lowers or normal("AZÉÑ") == "AZÉÑ")
+        self.parts = self.by_letters and all(pieces(some + t) == [some.translate(self.letters), t] for t in (",", ".", "!!", "?!", "&&&", "-_:;", "***")) and all(any(c.isalpha() for c in t) for t in self.special)
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Numbered(self.lowers, self.parts)
+        self.index = _Numbered(self.lowers, self.by_letters, self.parts)
         self.pieces: dict[str, bytes] = {}
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
@@ -95,26 +100,31 @@ class WordEncoder:
             out[at] += found
         return out
 
-    def _known(self, word: str) -> bytes:
-        k = self.index[word]
-        return self.flat[self.starts[k] : self.starts[k] + self.counts[k]].tobytes()
-
     def _alone(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        made = [w for w in words if self.index.is_made(w)]
-        plain = [w for w in words if w.isprintable() and not self.index.is_made(w)]
+    def _learn(self) -> None:
+        """The ids of words numbered since the last time: of letters by the model, of letters and signs from both, else by
+        the library's normalizer and pre-tokenizer, many at once."""
+        new, first, flat, ends = self.index.new, len(self.counts), array("I"), [0]
+        other = [w for w, made in new if made is None and w.isprintable()]
         found = {}
-        for k in range(0, len(plain), 500):
-            found.update(zip(plain[k : k + 500], self._words_ids(plain[k : k + 500]), strict=True))
-        for w in made:
-            found[w] = b"".join(found[x] if x in found else self._known(x) for x in (w[:-1], w[-1]))
-        ids = [found[w] if w in found else self._alone(w) for w in words]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))
-        self.counts = np.concatenate((self.counts, counts))
-        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), np.uint32)))
+        for k in range(0, len(other), 500):
+            found.update(zip(other[k : k + 500], self._words_ids(other[k : k + 500]), strict=True))
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for word, made in new:
+            if made is None:
+                flat.frombytes(found[word] if word in found else self._alone(word))
+            elif not made:
+                flat.extend([t.id for t in tokenize(word if word.isascii() else word.translate(letters))])
+            else:
+                for k in made:
+                    flat.extend(flat[ends[k - first] : ends[k - first + 1]] if k >= first else self.flat[self.starts[k] : self.starts[k] + self.counts[k]].tolist())
+            ends.append(len(flat))
+        at = np.array(ends, dtype=np.int64)
+        self.starts = np.concatenate((self.starts, len(self.flat) + at[:-1]))
+        self.counts = np.concatenate((self.counts, np.diff(at)))
+        self.flat = np.concatenate((self.flat, np.frombuffer(flat, np.uint32)))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, end of each text among them)."""
@@ -130,7 +140,7 @@ class WordEncoder:
             sizes[k] = len(words)
             which.append(np.fromiter(map(find, words), np.int64, len(words)))
         if self.index.new:
-            self._learn(self.index.new)
+            self._learn()
             self.index.new = []
         places = np.concatenate(which)
         counts = self.counts[places]
@@ -140,28 +150,47 @@ class WordEncoder:
         return np.insert(ids, ends, np.uint32(end)), ends + np.arange(1, len(texts) + 1)
 
 
+class _Letters(dict):
+    """What the pre-tokenizer makes of a letter, for str.translate."""
+
+    def __init__(self, split):
+        super().__init__()
+        self.split = split
+
+    def __missing__(self, code: int) -> str:
+        out = self[code] = self.split(chr(code))[0][0]
+        return out
+
+
+def _latin(word: str) -> bool:
+    """Letters only, all of them composed Latin ones, which stay as they are under canonical composition, and one letter each in
+    lower case (a dotted capital I does not)."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word)
+
+
 class _Numbered(dict):
-    """Numbers words as they are asked for; new holds those since it was last emptied, parts before what they make up.
+    """Numbers words as they are asked for. new holds (word, made) of those since it was last emptied: made is () for Latin
+    letters, the numbers of its two parts for letters and signs, None for any other word.
 
-    lowers: ASCII words count as their lower-case form. parts: letters before a comma or full stop are known by themselves.
+    lowers: Latin words count as their lower-case form.
     """
 
-    def __init__(self, lowers: bool, parts: bool):
+    def __init__(self, lowers: bool, by_letters: bool, parts: bool):
         super().__init__({"": 0})
-        self.lowers, self.parts, self.n, self.new = lowers, parts, 1, []
-
-    def is_made(self, word: str) -> bool:
-        return self.parts and len(word) > 1 and word[-1] in ENDINGS and word[:-1].isalpha() and word.isascii()
+        self.lowers, self.by_letters, self.parts, self.n, self.new = lowers, by_letters, parts, 1, []
 
     def __missing__(self, key: str) -> int:
-        if self.lowers and key.isascii() and (low := key.lower()) != key:
-            n = self[key] = self[low]
-            return n
-        if self.is_made(key):
-            self[key[:-1]], self[key[-1]]  # noqa: B018  numbers them
+        made = None
+        if self.by_letters and _latin(key):
+            if self.lowers and (low := key.lower()) != key:
+                n = self[key] = self[low]
+                return n
+            made = ()
+        elif self.parts and (m := TAILED.fullmatch(key)) and _latin(m[1]):
+            made = (self[m[1]], self[m[2]])
         self[key] = n = self.n
         self.n += 1
-        self.new.append(key)
+        self.new.append((key, made))
         return n
 
 
@@ -249,14 +278,14 @@ class WaveletMatrix:
         now = None
         for k in reversed(range(len(self.planes))):
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-            place = np.uint32(len(self.planes) - 1 - k)
+            place = len(self.planes) - 1 - k
             if now is None:
-                now = np.zeros(self.n, dtype=np.uint32)
-            now[self.zeros[k] :] |= np.uint32(1) << place
+                now = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
+            now[self.zeros[k] :] |= now.dtype.type(1 << place)
             out = np.empty_like(now)
             out[np.flatnonzero(~bit)], out[np.flatnonzero(bit)] = now[: self.zeros[k]], now[self.zeros[k] :]
             now = out
-        return np.zeros(0, np.uint32) if now is None else now
+        return np.zeros(0, np.uint32) if now is None else now.astype(np.uint32)
 
 
 def pack_shard(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: int) -> bytes:

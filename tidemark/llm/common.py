@@ -90,7 +90,7 @@ class WordHasher:
     different ones collide with a chance of about 2**-45 at worst (words of 32 letters made up for it), mostly of 2**-64.
     """
 
-    P, LONG = 0x9E3779B97F4A7C15, 32
+    P, LONG, KEPT = 0x9E3779B97F4A7C15, 32, BLOCK_BYTES + (1 << 18)
 
     def __init__(self, separators: Iterable[int]):
         code = _random_u64(256, 20)
@@ -114,9 +114,11 @@ class WordHasher:
         if n == 0:
             empty = np.zeros(0, dtype=np.int64)
             return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64), empty, empty, at
-        if n > len(self.powers):
-            self.powers = self._power(self.P, 2 * n)
-            self.inverse = self._power(pow(self.P, -1, 1 << 64), 2 * n)
+        powers, inverse = self.powers, self.inverse
+        if n > len(powers):  # those of a usual block are kept, those of a longer text are not
+            powers, inverse = (self._power(p, max(n, self.KEPT)) for p in (self.P, pow(self.P, -1, 1 << 64)))
+            if n <= self.KEPT:
+                self.powers, self.inverse = powers, inverse
         inside = ~self.apart[joined]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
@@ -125,8 +127,8 @@ class WordHasher:
             edge = np.concatenate((edge, [n]))
         starts, ends = edge[0::2], edge[1::2]
         total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self.code[joined] * self.powers[:n], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * self.inverse[starts])
+        np.cumsum(self.code[joined] * powers[:n], out=total[1:])
+        hashes = mix((total[ends] - total[starts]) * inverse[starts])
         for k in np.flatnonzero(ends - starts > self.LONG).tolist():
             hashes[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : ends[k]].tobytes().lower())
         return hashes, np.searchsorted(starts, at), starts, ends, at

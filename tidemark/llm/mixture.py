@@ -79,6 +79,13 @@ def copies_of(rate: pa.Array, u: pa.Array) -> pa.Array:
     return pa.array(counts(rate.to_numpy(zero_copy_only=False), u.to_numpy(zero_copy_only=False)))
 
 
+@F.arrow_udf(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("steps", T.ArrayType(T.DoubleType()))]))
+def steps_of(rate: pa.Array) -> pa.Array:
+    found = [poisson_steps(float(m)) for m in rate.to_pylist()]
+    # steps that are 1 in double precision are above any number drawn
+    return pa.array([{"first": first, "steps": steps[: np.searchsorted(steps, 1.0 - 1e-15) + 1].tolist()} for first, steps in found], pa.struct([("first", pa.int32()), ("steps", pa.list_(pa.float64()))]))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, size: float = 1.0, seed: int = 17) -> DataFrame:
     """The documents, each as often as its count says, shuffled globally, with copy_ix, n_copies and shuffle_key."""
     columns = [c for c in docs.columns if c not in ("copy_ix", "n_copies", "shuffle_key")]
@@ -86,12 +93,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     # a row without an id is known by its text
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
     keyed = docs.select(*columns, F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source_key"), name.alias("_name"))
-    if (table.agg(F.sum(F.octet_length("source_key") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
-        rated = keyed.join(F.broadcast(table), "source_key")
-    else:  # a source of any size is dealt over some parts
+    u = uniform(seed, F.col("_name"))
+    # a step function has some 24 roots of its mean as steps; the root of the sum bounds that before any is made
+    size_of = F.octet_length("source_key") + 1_024 + 200 * F.sqrt(F.greatest(F.col("rate"), F.lit(0.0)))
+    if (table.agg(F.sum(size_of)).first()[0] or 0) <= BROADCAST_BYTES:
+        steps = table.withColumn("p", steps_of("rate")).select("source_key", "p.first", "p.steps")
+        rated = keyed.join(F.broadcast(steps), "source_key").withColumn("_u", u)
+        counted = rated.withColumn("n_copies", F.when(F.size("steps") > 0, F.col("first") + F.expr("size(filter(steps, s -> s <= _u))")).otherwise(0)).where("n_copies > 0")
+    else:  # a source of any size is dealt over some parts, and its steps are made where they are needed
         each = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
         rated = keyed.withColumn("_part", F.pmod(F.xxhash64("_name"), F.lit(PARTS))).join(each, ["source_key", "_part"])
-    counted = rated.withColumn("n_copies", copies_of("rate", uniform(seed, F.col("_name")))).where("n_copies > 0")
+        counted = rated.withColumn("n_copies", copies_of("rate", u)).where("n_copies > 0")
     copies = counted.withColumn("copy_ix", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.col("_name"), F.col("copy_ix").cast("string")).cast("binary"))
     dealt = copies.withColumn("shuffle_key", key).select(*columns, "copy_ix", "n_copies", "shuffle_key")

@@ -35,8 +35,8 @@ from .common import materialise, new_path, read_file, texts_of, write_file
 
 MAGIC = b"TMWM0001"
 RANK_BITS = 512
-#: Words of which a task keeps the ids; beyond it starts anew, so memory is bounded.
-KEPT_WORDS = 600_000
+#: Words of which a task keeps the ids, in any spelling; beyond it starts anew, so memory is bounded.
+KEPT_WORDS = 700_000
 #: A shard is closed once it holds so many ids.
 SHARD_TOKENS = 2_000_000
 #: Texts are encoded together until they have so many characters.
@@ -131,7 +131,7 @@ class WordEncoder:
         if not self.by_word:
             rows = [[*e.ids, end] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.fromiter((i for r in rows for i in r), np.uint32, sum(map(len, rows))), np.cumsum([len(r) for r in rows])
-        if self.index.n > KEPT_WORDS:
+        if len(self.index) > KEPT_WORDS:
             self.clear()
         find, which, sizes = self.index.__getitem__, [], np.zeros(len(texts), dtype=np.int64)
         for k, text in enumerate(texts):

@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([("entry", pa.string()), ("signature", pa.int64()), ("n", pa.int64())])
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 0, limit=8 << 20)):
             clean, toxic, kinds = Counter(), [], Counter()
             for text, label in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
                 found, signature = _entries(text)

@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -35,14 +36,15 @@ from .common import materialise, new_path, read_file, texts_of, write_file
 
 MAGIC = b"TMWM0001"
 RANK_BITS = 512
-#: Words of which a task keeps the ids, in any spelling; beyond it starts anew, so memory is bounded.
-KEPT_WORDS = 700_000
+#: Pieces of words of which a task keeps the ids; beyond it starts anew, so memory is bounded.
+KEPT_WORDS = 500_000
 #: A shard is closed once it holds so many ids.
 SHARD_TOKENS = 2_000_000
 #: Texts are encoded together until they have so many characters.
-CHUNK_CHARS = 500_000
-#: Letters, then signs: a word of two pieces where the tokenizer says so. No apostrophes, which may belong to letters.
-TAILED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+CHUNK_CHARS = 1_000_000
+#: Latin letters as _latin() takes them, then signs: a word of two pieces where the tokenizer says so. No apostrophes, which
+#: may belong to letters.
+TAILED = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<signs>[!-&(-/:-@\[-`{-~]+)$"
 NULL_ID = -(1 << 63)
 
 
@@ -80,7 +82,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Numbered(self.lowers, self.by_letters, self.parts)
+        self.index = _Numbered(self.lowers, self.by_letters)
         self.pieces: dict[str, bytes] = {}
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
@@ -104,28 +106,44 @@ class WordEncoder:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _learn(self) -> None:
-        """The ids of words numbered since the last time: of letters by the model, of letters and signs from both, else by
-        the library's normalizer and pre-tokenizer, many at once."""
-        new, first, flat, ends = self.index.new, len(self.counts), array("I"), [0]
-        other = [w for w, made in new if made is None and w.isprintable()]
+        """The ids of pieces numbered since the last time: of letters by the model, else by the library's normalizer and
+        pre-tokenizer, many at once."""
+        flat, ends = array("I"), [0]
+        other = [w for w, letters in self.index.new if not letters and w.isprintable()]
         found = {}
         for k in range(0, len(other), 500):
             found.update(zip(other[k : k + 500], self._words_ids(other[k : k + 500]), strict=True))
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        for word, made in new:
-            if made is None:
-                flat.frombytes(found[word] if word in found else self._alone(word))
-            elif not made:
-                flat.extend([t.id for t in tokenize(word if word.isascii() else word.translate(letters))])
+        tokenize, spelled = self.tokenizer.model.tokenize, self.letters
+        for word, letters in self.index.new:
+            if letters:
+                flat.extend([t.id for t in tokenize(word if word.isascii() else word.translate(spelled))])
             else:
-                for k in made:
-                    flat.extend(flat[ends[k - first] : ends[k - first + 1]] if k >= first else self.flat[self.starts[k] : self.starts[k] + self.counts[k]].tolist())
+                flat.frombytes(found[word] if word in found else self._alone(word))
             ends.append(len(flat))
+        self.index.new = []
         at = np.array(ends, dtype=np.int64)
         self.starts = np.concatenate((self.starts, len(self.flat) + at[:-1]))
         self.counts = np.concatenate((self.counts, np.diff(at)))
         self.flat = np.concatenate((self.flat, np.frombuffer(flat, np.uint32)))
 
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        coded = pieces.dictionary_encode()
+        known = coded.dictionary
+        numbers = np.fromiter(map(self.index.__getitem__, known.to_numpy(zero_copy_only=False)), np.int64, len(known))
+        return numbers[coded.indices.to_numpy()]
+
+    def _split(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word's first piece and its signs after letters, empty for most; letters of ASCII in lower case where it is all one."""
+        tails = pa.scalar("", pa.large_string())
+        if self.parts:
+            plain = pc.ascii_is_alpha(words)
+            cut = pc.extract_regex(pc.if_else(plain, tails, words), TAILED)  # null where there are no two
+            two = cut.is_valid()
+            words, tails = pc.if_else(two, cut.field("letters"), words), pc.if_else(two, cut.field("signs"), tails)
+        else:
+            tails = pa.repeat(tails, len(words))
+        return pc.if_else(pc.ascii_is_alpha(words), pc.ascii_lower(words), words) if self.lowers else words, tails
+
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, end of each text among them)."""
         if not self.by_word:
@@ -133,23 +151,26 @@ class WordEncoder:
             return np.fromiter((i for r in rows for i in r), np.uint32, sum(map(len, rows))), np.cumsum([len(r) for r in rows])
         if len(self.index) > KEPT_WORDS:
             self.clear()
-        find, which, sizes = self.index.__getitem__, [], np.zeros(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            # these are white space to any tokenizer and stand in no composed character
-            words = text.replace("\n", " ").replace("\t", " ").split(" ")
-            sizes[k] = len(words)
-            which.append(np.fromiter(map(find, words), np.int64, len(words)))
-        if self.index.new:
-            self._learn()
-            self.index.new = []
-        places = np.concatenate(which)
-        counts = self.counts[places]
-        upto = np.cumsum(counts)
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.starts[places] - upto + counts, counts)]
-        ends = upto[np.cumsum(sizes) - 1]
+        # these are white space to any tokenizer and stand in no composed character
+        plain = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), "\t", " ")
+        words = pc.split_pattern(plain, " ")
+        coded = words.flatten().dictionary_encode()  # so that each word is taken apart once for all texts
+        pieces = np.stack([self._numbers(x) for x in self._split(coded.dictionary)], axis=1)
+        self._learn()
+        own, upto = _gather(self.flat, self.starts, self.counts, pieces.ravel())
+        counts = np.diff(upto[1::2], prepend=0)
+        ids, upto = _gather(own, upto[1::2] - counts, counts, coded.indices.to_numpy())
+        ends = upto[words.offsets.to_numpy()[1:] - 1]
         return np.insert(ids, ends, np.uint32(end)), ends + np.arange(1, len(texts) + 1)
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the parts of flat at these places, one after another, end of each among them)."""
+    n = counts[places]
+    upto = np.cumsum(n)
+    return flat[np.arange(upto[-1]) + np.repeat(starts[places] - upto + n, n)], upto
+
+
 class _Letters(dict):
     """What the pre-tokenizer makes of a letter, for str.translate."""
 
@@ -169,28 +190,23 @@ def _latin(word: str) -> bool:
 
 
 class _Numbered(dict):
-    """Numbers words as they are asked for. new holds (word, made) of those since it was last emptied: made is () for Latin
-    letters, the numbers of its two parts for letters and signs, None for any other word.
+    """Numbers pieces as they are asked for. new holds (piece, whether it is Latin letters) of those since it was last emptied.
 
-    lowers: Latin words count as their lower-case form.
+    lowers: Latin letters count as their lower-case form.
     """
 
-    def __init__(self, lowers: bool, by_letters: bool, parts: bool):
+    def __init__(self, lowers: bool, by_letters: bool):
         super().__init__({"": 0})
-        self.lowers, self.by_letters, self.parts, self.n, self.new = lowers, by_letters, parts, 1, []
+        self.lowers, self.by_letters, self.n, self.new = lowers, by_letters, 1, []
 
     def __missing__(self, key: str) -> int:
-        made = None
-        if self.by_letters and _latin(key):
-            if self.lowers and (low := key.lower()) != key:
-                n = self[key] = self[low]
-                return n
-            made = ()
-        elif self.parts and (m := TAILED.fullmatch(key)) and _latin(m[1]):
-            made = (self[m[1]], self[m[2]])
+        letters = self.by_letters and _latin(key)
+        if letters and self.lowers and (low := key.lower()) != key:
+            n = self[key] = self[low]
+            return n
         self[key] = n = self.n
         self.n += 1
-        self.new.append((key, made))
+        self.new.append((key, letters))
         return n
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The thresholds of the classes.
@@ -18,15 +18,20 @@ MEASURES = ("duration", "size", "float")
 def statistics(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """total, distinct, overflowed, numeric summary and samples for each position. values: keys, kind, value and maybe number.
 
-    Values are counted first, so a position of any size is summed in parts.
+    Values are counted first, so a position of any size is summed in parts. samples are its commonest values, ties by
+    value; each task keeps its own few of a position before they meet.
     """
     number = F.col("number") if "number" in values.columns else F.lit(None).cast("double")
     counted = values.groupBy(*keys, "kind", "value").agg(F.count("*").alias("n"), F.max(number).alias("number"))
-    return counted.groupBy(*keys, "kind").agg(
+    stats = counted.groupBy(*keys, "kind").agg(
         F.sum("n").alias("total"), F.count("*").alias("distinct_values"), (F.count("*") > MOST_VALUES).alias("overflowed"),
         F.sum(F.when(F.col("number").isNotNull(), F.col("n"))).alias("numbers"), F.min("number").alias("min"), F.max("number").alias("max"), F.sum(F.col("number") * F.col("n")).alias("sum"),
         F.count_if(F.col("n") >= ENUM_TIMES).alias("established"), F.coalesce(F.sum(F.when(F.col("n") >= ENUM_TIMES, F.col("n"))), F.lit(0)).alias("covered"),
     )
+    place = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(F.desc("n"), "value"))
+    first = counted.withColumn("place", place).where(F.col("place") <= SAMPLES).groupBy(*keys, "kind").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("first"))
+    of_position = [stats[k].eqNullSafe(first[k]) for k in (*keys, "kind")]
+    return stats.join(first, of_position, "left").select(stats["*"], F.transform("first", lambda x: x["value"]).alias("samples"))
 
 
 def classify(values: DataFrame, keys: Sequence[str]) -> DataFrame:

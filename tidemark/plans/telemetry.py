@@ -365,6 +365,12 @@ def describe_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(*[c for c in d.columns if c != "top"], *tops, share(F.element_at("top", 1)["count"], F.col("events")).alias("top_share"))
 
 
+def slot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.explode(F.array(F.struct(F.col("event_type").alias("slot"), F.col("props").alias("v")), F.struct(F.lit("user").alias("slot"), F.col("user_id").cast("string").alias("v")), F.struct(F.lit("type").alias("slot"), F.col("event_type").alias("v")))).alias("x"))
+    return rows.select("x.slot", F.col("x.v").alias("value"), F.lit("quoted").alias("kind"))
+
+
 @query(
     """WITH t AS (SELECT event_type AS slot, props AS v FROM events UNION ALL SELECT 'user', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT 'type', event_type FROM events),
 c AS (SELECT slot, v, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT slot, CAST(sum(n) AS BIGINT) AS total, count(*) AS distinct_values, count(*) FILTER (WHERE n >= 3) AS established, coalesce(sum(n) FILTER (WHERE n >= 3), 0) AS covered FROM c GROUP BY slot)
@@ -375,9 +381,56 @@ SELECT slot, total, distinct_values, CASE WHEN distinct_values > 5000 OR (total
 def slot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.slots import classify
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = e.select(F.explode(F.array(F.struct(F.col("event_type").alias("slot"), F.col("props").alias("v")), F.struct(F.lit("user").alias("slot"), F.col("user_id").cast("string").alias("v")), F.struct(F.lit("type").alias("slot"), F.col("event_type").alias("v")))).alias("x"))
-    return classify(rows.select("x.slot", F.col("x.v").alias("value"), F.lit("quoted").alias("kind")), ["slot"]).select("slot", "total", "distinct_values", "class", "confidence")
+    return classify(slot_values(spark, sf_dir), ["slot"]).select("slot", "total", "distinct_values", "class", "confidence")
+
+
+@query(
+    """WITH t AS (SELECT event_type AS slot, props AS v FROM events UNION ALL SELECT 'user', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT 'type', event_type FROM events),
+c AS (SELECT slot, v, count(*) AS n, row_number() OVER (PARTITION BY slot ORDER BY count(*) DESC, v NULLS FIRST) AS p FROM t GROUP BY slot, v)
+SELECT slot, string_agg(v, '|' ORDER BY p) FILTER (WHERE p <= 5) AS samples, count(*) AS distinct_values FROM c GROUP BY slot"""
+)
+def slot_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest values of each position."""
+    from ..operators.slots import statistics
+
+    return statistics(slot_values(spark, sf_dir), ["slot"]).select("slot", F.array_join("samples", "|").alias("samples"), "distinct_values")
+
+
+NUMBER = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+
+
+@query(
+    DAYS
+    + f""", u AS (SELECT run, event_type, CAST(sum(us) AS BIGINT) AS us, CAST(sum(length(props)) * 1000 AS BIGINT) AS size, count(*) AS n FROM e GROUP BY ALL),
+d AS (SELECT *, CASE WHEN us < 1000000 THEN us / 1000.0::DOUBLE ELSE us / 1000000.0::DOUBLE END AS t, CASE WHEN size < 1048576 THEN size / 1024.0::DOUBLE ELSE size / 1048576.0::DOUBLE END AS b FROM u),
+s AS (SELECT *, CASE WHEN t < 10 THEN round(t * 100) / 100 WHEN t < 100 THEN round(t * 10) / 10 WHEN t < 1000 THEN round(t) ELSE round(t / 10) * 10 END AS rt,
+             CASE WHEN b < 10 THEN round(b * 100) / 100 WHEN b < 100 THEN round(b * 10) / 10 WHEN b < 1000 THEN round(b) ELSE round(b / 10) * 10 END AS rb FROM d)
+SELECT run, event_type, CASE WHEN us < 1000 THEN us || 'µs' WHEN us < 1000000 THEN {NUMBER.format("rt")} || 'ms' ELSE {NUMBER.format("rt")} || 's' END AS took,
+       CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN {NUMBER.format("rb")} || ' KB' ELSE {NUMBER.format("rb")} || ' MB' END AS size, n || CASE WHEN n = 1 THEN ' event' ELSE ' events' END AS events FROM s"""
+)
+def usage_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kind of events took in a day, as people read it: time, a size of a thousand times its properties, a count."""
+    from ..functions import display
+
+    sums = day_events(spark, sf_dir).groupBy("run", "event_type").agg(F.sum("duration_us").alias("us"), (F.sum(F.length("props")) * 1000).alias("size"), F.count("*").alias("n"))
+    return sums.select("run", "event_type", display.duration_text(F.col("us")).alias("took"), display.bytes_text(F.col("size")).alias("size"), display.plural(F.col("n"), "event").alias("events"))
+
+
+@query(
+    DAYS
+    + """, c AS (SELECT run, user_id AS behavior, CASE event_type WHEN 'signup' THEN 'example' WHEN 'click' THEN 'request' WHEN 'view' THEN CASE WHEN user_id % 3 > 0 THEN 'sql' END WHEN 'error' THEN 'stderr' END AS class FROM e)
+SELECT run, class, count(*) AS n, count(DISTINCT behavior) AS behaviors FROM c GROUP BY ALL"""
+)
+def behavior_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events of a day are of which class; those of none raise no signal."""
+    from ..operators.detect import behavior_class
+
+    e = day_events(spark, sf_dir)
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in (("signup", "test.example"), ("click", "http.request"), ("view", "db.query"), ("error", "log"), ("purchase", "log")) for x in p]), F.col("event_type"))
+    template = F.when(F.col("user_id") % 3 > 0, "User Load SELECT").otherwise("TRANSACTION BEGIN")
+    stream = F.when(F.col("event_type") == "error", "stderr").otherwise("stdout")
+    found = e.withColumn("class", behavior_class(kind, template, stream, F.lit(True), F.lit(False)))
+    return found.groupBy("run", "class").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("behaviors"))
 
 
 @query("SELECT conv_id AS behavior_id, CAST(p - 1 AS INT) AS position, turn AS seq, substr(text, 1, 1024) AS line FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p FROM conversations) WHERE p <= 3")

@@ -7,7 +7,6 @@ from tidemark.operators import aggregate, baseline, compare, interpret, outcomes
 from tidemark.operators.ranges import as_of, within
 from tidemark.sources.lines import read_scenario, split_text
 from tidemark.sources.store import Store
-from tidemark.streaming.first_seen import first_seen, seen_before, tail
 
 
 def test_lines_keep_places_and_lengths(spark):
@@ -149,24 +148,6 @@ def test_store_publishes_last(spark, tmp_path):
     assert outcomes.judgement(s.feedback_rows()).first()["judgement"] == "wrong"
 
 
-def test_first_seen_stream(spark, tmp_path):
-    put = lambda name, text: (tmp_path / "in" / name).write_text(text)
-    (tmp_path / "in").mkdir()
-    run = lambda: first_seen(tail(spark, str(tmp_path / "in")), str(tmp_path / "seen"), str(tmp_path / "cp"), most=3, until_end=True).awaitTermination()
-    seen = lambda: sorted(r["template"] for r in seen_before(spark, str(tmp_path / "seen")).collect())
-    put("a.txt", "took 5ms\ntook 7ms\nother\n")
-    run()
-    assert seen() == ["other", "took <duration>"]
-    put("b.txt", "took 9ms\n\nthird\n")
-    run()
-    assert seen() == ["other", "third", "took <duration>"]
-    put("c.txt", "fourth\nother\n")
-    run()
-    put("d.txt", "fifth\n")
-    run()
-    assert seen() == [aggregate.OVERFLOW, "other", "third", "took <duration>"]
-
-
 def test_sql_functions(spark):
     from tidemark.functions.ids import behavior_id
     from tidemark.functions.normalize import register

@@ -2,14 +2,16 @@
 
 Modes: "secrets" (keys and passwords), "pii" (mail addresses, public IPv4 addresses and home folders too), "off". A value
 has one number within a run, by where it is first seen. Detection stays in the JVM; numbering is a rank of distinct
-values, so no run's lines meet in one task. The thresholds for random values are this library's own.
+values and key blocks are a running count, both in slices, so no run's lines or values meet in one task. The thresholds for random values are this library's own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scans import WIDTH, Fold, by_width, ranked, scan
+
 # Shapes of well-known credentials.
 TOKENS = [
     r"gh[pousr]_[A-Za-z0-9]{20,}", r"github_pat_[A-Za-z0-9_]{22,}", r"glpat-[A-Za-z0-9_-]{20,}", r"AKIA[0-9A-Z]{16}", r"AIza[0-9A-Za-z_-]{35}", r"xox[abprs]-[A-Za-z0-9-]{10,}",
@@ -34,23 +36,22 @@ def findings(line: Column, mode: str = "secrets") -> Column:
     return F.array_distinct(F.concat(*out))
 
 
-def in_key_block(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """lines with in_key: those of a private key from its BEGIN to its END line, by counts over seq in each stream."""
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+def in_key_block(lines: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
+    """lines with in_key: those of a private key from its BEGIN to its END line, by counts over seq in each stream, in slices."""
     opens, closes = F.col("line").rlike("-----BEGIN [A-Z ]*PRIVATE KEY-----"), F.col("line").rlike("-----END [A-Z ]*PRIVATE KEY-----")
-    before = F.coalesce(F.sum(opens.cast("int") - closes.cast("int")).over(w), F.lit(0))
-    return lines.withColumn("in_key", opens | closes | (before > 0))
+    found = scan(lines, keys, ["seq"], {"_open": Fold("sum", opens.cast("int") - closes.cast("int"), before=True)}, by_width("seq", width))
+    return found.withColumn("in_key", opens | closes | (F.coalesce("_open", F.lit(0)) > 0)).drop("_open")
 
 
-def redact(lines: DataFrame, mode: str = "secrets") -> DataFrame:
+def redact(lines: DataFrame, mode: str = "secrets", width: int = WIDTH) -> DataFrame:
     """lines (run_id, feed, stream, seq, line) with evidence, to be kept, and masked, to be analysed.
 
     With mode "off" evidence is the line as it came; masked is never so.
     """
-    keyed = in_key_block(lines, ["run_id", "stream"]).withColumn("found", F.when(F.col("in_key"), F.array(F.struct(F.lit("SECRET").alias("kind"), F.col("line").alias("value")))).otherwise(findings(F.col("line"), "secrets" if mode == "off" else mode)))
+    keyed = in_key_block(lines, ["run_id", "stream"], width).withColumn("found", F.when(F.col("in_key"), F.array(F.struct(F.lit("SECRET").alias("kind"), F.col("line").alias("value")))).otherwise(findings(F.col("line"), "secrets" if mode == "off" else mode)))
     seen = keyed.where(F.size("found") > 0).select("run_id", "feed", "seq", F.posexplode("found").alias("pos", "x")).select("run_id", "x.kind", "x.value", F.struct("feed", "seq", "pos").alias("at"))
     firsts = seen.groupBy("run_id", "kind", "value").agg(F.min("at").alias("first"))
-    number = firsts.withColumn("number", F.row_number().over(Window.partitionBy("run_id", "kind").orderBy("first")))
+    number = ranked(firsts, ["run_id", "kind"], ["first"], "number", F.struct("first.feed", F.floor(F.col("first.seq") / width)))
     # only lines with findings take part; each gets the numbers of its own few values
     marked = keyed.where(F.size("found") > 0).select("run_id", "stream", "seq", F.explode("found").alias("x")).select("run_id", "stream", "seq", "x.kind", "x.value")
     numbered = marked.join(number, ["run_id", "kind", "value"]).groupBy("run_id", "stream", "seq").agg(F.sort_array(F.collect_list(F.struct(F.length("value").alias("size"), "value", F.concat(F.lit("<"), "kind", F.lit("_"), F.col("number").cast("string"), F.lit(">")).alias("put"))), asc=False).alias("puts"))

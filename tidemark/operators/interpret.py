@@ -3,7 +3,7 @@ logs, then everything else as log. All take lines (run_id, feed, stream, seq, li
 
     run_id, feed, stream, seq, kind, template, line, duration_us, outcome, scope, measures
 
-State within a stream (open request, running offset, example ranges) is windows over seq; runs and streams are partitions.
+State within a stream (open request, running offset) is folded over slices of seq, so one long log is many tasks' work.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from ..functions import masks
 from ..functions.ids import behavior_ids
 from ..functions.normalize import Roots, normalized
 from .ranges import as_of
+from .scans import WIDTH, Fold, by_width, scan
 
 EVENTS, LOG = "file:rspec-events", "file:log/test.log"
 RSPEC = "event string, id string, full_description string, declared_full_description string, file_path string, status string, run_time double, exception struct<class:string,message:string>, log_offset long, expected long, defined long, duration double, examples long, failures long, pending long, errors_outside_of_examples long, context string, class string, message string"
@@ -111,29 +112,32 @@ def cargo_notices(lines: DataFrame) -> DataFrame:
 QUERY = r"^\s*([A-Za-z0-9 :?_]*?) ?\((\d+(?:\.\d+)?)ms\)  (.*)$"
 
 
-def requests(lines: DataFrame) -> DataFrame:
+def requests(lines: DataFrame, width: int = WIDTH) -> DataFrame:
     """Request blocks of a log: lines with block (a number a Started line opens), its action, status and whether it is open here.
 
-    A Started line opens a block, and the first Completed line after it closes it, all by running counts over seq.
+    A Started line opens a block, and the first Completed line after it closes it: by the last places of both up to each
+    line, folded over slices of the log. counted is the number of queries from the block's beginning on.
     """
-    w = Window.partitionBy("run_id", "stream").orderBy("seq")
-    text = masks.strip_ansi(F.col("line"))
-    rows = lines.withColumn("text", text).withColumn("block", F.count_if(F.col("text").rlike("^Started [A-Z]+ ")).over(w))
-    inside = Window.partitionBy("run_id", "stream", "block")
-    upto = inside.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("closed_at", F.min(F.when(F.col("text").rlike(r"^Completed \d{3} "), F.col("seq"))).over(inside)).withColumn("in_block", (F.col("block") > 0) & (F.col("seq") <= F.coalesce("closed_at", F.lit(1 << 62))))
-    method = F.first(F.when(F.col("text").rlike("^Started [A-Z]+ "), F.regexp_extract("text", r"^Started ([A-Z]+) ", 1)), ignorenulls=True).over(upto)
-    action = F.last(F.when(F.col("text").rlike("^Processing by "), F.regexp_extract("text", r"^Processing by (\S+)", 1)), ignorenulls=True).over(upto)
-    return rows.withColumn("method", F.when(F.col("in_block"), method)).withColumn("action", F.when(F.col("in_block"), action))
-
-
-def rails(lines: DataFrame, roots: Roots | None = None) -> DataFrame:
+    rows = lines.withColumn("text", masks.strip_ansi(F.col("line")))
+    start, done, seq = F.col("text").rlike("^Started [A-Z]+ "), F.col("text").rlike(r"^Completed \d{3} "), F.col("seq")
+    name = F.trim(F.regexp_extract("text", QUERY, 1))
+    counts = (F.col("text").rlike(QUERY) & ~name.isin("TRANSACTION", "SCHEMA")).cast("long")
+    action = F.when(F.col("text").rlike("^Processing by "), F.struct(seq.alias("seq"), F.regexp_extract("text", r"^Processing by (\S+)", 1).alias("name")))
+    opened = F.when(start, F.struct(seq.alias("seq"), F.regexp_extract("text", r"^Started ([A-Z]+) ", 1).alias("method")))
+    folds = {"block": Fold("sum", start.cast("long")), "queries": Fold("sum", counts), "opened": Fold("last", opened), "acted": Fold("last", action), "closed": Fold("last", F.when(done, seq), before=True)}
+    rows = scan(rows, ["run_id", "stream"], ["seq"], folds, by_width("seq", width))
+    inside = F.col("opened").isNotNull() & (F.coalesce("closed", F.lit(-1)) < F.col("opened.seq"))
+    rows = rows.withColumn("in_block", inside)
+    rows = rows.withColumns({"method": F.when(F.col("in_block"), F.col("opened.method")), "action": F.when(F.col("in_block") & (F.col("acted.seq") >= F.col("opened.seq")), F.col("acted.name"))})
+    return rows.drop("opened", "acted", "closed")
+
+
+def rails(lines: DataFrame, roots: Roots | None = None, width: int = WIDTH) -> DataFrame:
     """Queries and requests of a log, and its other lines as log, scoped to the endpoint that they serve."""
-    rows = requests(lines.where(F.col("stream") == LOG))
+    rows = requests(lines.where(F.col("stream") == LOG), width)
     name, ms = F.trim(F.regexp_extract("text", QUERY, 1)), F.regexp_extract("text", QUERY, 2).try_cast("double")
     is_query = F.col("text").rlike(QUERY)
-    counted = F.count_if(is_query & ~name.isin("TRANSACTION", "SCHEMA")).over(Window.partitionBy("run_id", "stream", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("endpoint", F.when(F.col("action").isNotNull(), F.concat_ws(" ", "method", "action"))).withColumn("counted", counted)
+    rows = rows.withColumn("endpoint", F.when(F.col("action").isNotNull(), F.concat_ws(" ", "method", "action")))
     scope = F.concat(F.lit("request:"), F.col("endpoint"))
     sql = masks.collapse_binds(F.regexp_replace(F.regexp_extract("text", QUERY, 3), r"  \[\[.*$", ""))
     queries = normalized(rows.where(is_query).withColumn("sql", F.concat_ws(" ", name, sql)), "sql", roots).select(*KEYS, *_event("db.query", F.col("normal.template"), F.round(ms * 1000), scope=scope))
@@ -141,9 +145,11 @@ def rails(lines: DataFrame, roots: Roots | None = None) -> DataFrame:
     code = F.regexp_extract("text", r"^Completed (\d{3}) ", 1).try_cast("int")
     reported = F.regexp_extract("text", r"\((\d+) queries", 1).try_cast("double")
     took = F.regexp_extract("text", r" in (\d+)ms", 1).try_cast("double")
-    done = rows.where(ended & F.col("in_block") & F.col("endpoint").isNotNull())
+    # a request's own queries: those up to its end without those up to its beginning
+    begun = rows.where(F.col("text").rlike("^Started [A-Z]+ ")).select("run_id", "stream", "block", F.col("queries").alias("earlier"))
+    done = rows.where(ended & F.col("in_block") & F.col("endpoint").isNotNull()).join(begun, ["run_id", "stream", "block"])
     key = F.concat(F.col("endpoint"), F.lit(" "), F.floor(code / 100).cast("string"), F.lit("xx"))
-    served = done.select(*KEYS, *_event("http.request", key, F.round(took * 1000), F.when(code >= 500, "failure"), scope, F.create_map(F.lit("queries"), F.coalesce(reported, F.col("counted").cast("double")))))
+    served = done.select(*KEYS, *_event("http.request", key, F.round(took * 1000), F.when(code >= 500, "failure"), scope, F.create_map(F.lit("queries"), F.coalesce(reported, (F.col("queries") - F.col("earlier")).cast("double")))))
     silent = F.col("text").rlike("^Started [A-Z]+ ") | (F.col("in_block") & F.col("text").rlike("^Processing by "))
     rest = rows.where(~is_query & ~silent & ~(ended & F.col("in_block") & F.col("endpoint").isNotNull()) & (F.trim("text") != ""))
     other = normalized(rest, "text", roots)
@@ -178,11 +184,16 @@ def example_ranges(lines: DataFrame) -> DataFrame:
     return apart.unionByName(ranges.join(mixed, "run_id").groupBy("run_id").applyInPandas(kept, ranges.schema)).drop("seq", "overlaps")
 
 
-def attribute(events: DataFrame, lines: DataFrame) -> DataFrame:
+def offsets(lines: DataFrame, width: int = WIDTH) -> DataFrame:
+    """run_id, stream, seq, at: the bytes of a stream before each of its lines."""
+    sums = scan(lines.select("run_id", "stream", "seq", "raw_len"), ["run_id", "stream"], ["seq"], {"at": Fold("sum", F.col("raw_len"), before=True)}, by_width("seq", width))
+    return sums.select("run_id", "stream", "seq", F.coalesce("at", F.lit(0)).alias("at"))
+
+
+def attribute(events: DataFrame, lines: DataFrame, width: int = WIDTH) -> DataFrame:
     """events of the log with the example that ran when their line was written, else the phase between or after examples,
     else the request that they serve; before the first example there is no scope."""
-    w = Window.partitionBy("run_id", "stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    at = lines.where(F.col("stream") == LOG).select("run_id", "stream", "seq", F.coalesce(F.sum("raw_len").over(w), F.lit(0)).alias("at"))
+    at = offsets(lines.where(F.col("stream") == LOG), width)
     ranges = example_ranges(lines)
     placed = as_of(at, ranges.select("run_id", F.col("start").alias("at"), "start", "end", "example"), ["run_id"], "at", ["start", "end", "example"])
     edge = ranges.groupBy("run_id").agg(F.max("end").alias("last_end"))

@@ -1,4 +1,4 @@
-"""As-of and range joins without a cross product: both sides meet in one ordered window, or by buckets."""
+"""As-of and range joins without a cross product: both sides meet in one order, cut into slices, or by buckets."""
 
 from __future__ import annotations
 
@@ -7,17 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import SLICES, Fold, by_quantiles, scan
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, take: Sequence[str]) -> DataFrame:
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, take: Sequence[str], slices: int = SLICES) -> DataFrame:
     """left with the columns `take` of the last row of right at or before it in order, within keys; null if there is none.
 
-    One shuffle by keys and one sort; a single pass carries the last row seen.
+    order is a number or a time. Its quantiles cut all rows into slices, and the last row of right in a slice is carried
+    into the next ones, so a key that most rows have is the work of many tasks.
     """
     ls = left.withColumn("_side", F.lit(1)).withColumn("_taken", F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType))
     rs = right.select(*keys, order, F.struct(*take).alias("_taken")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(*keys).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    met = ls.unionByName(rs, allowMissingColumns=True).withColumn("_last", F.last("_taken", ignorenulls=True).over(w))
-    return met.where("_side = 1").select(*left.columns, *[F.col(f"_last.{c}").alias(c) for c in take])
+    met = ls.unionByName(rs, allowMissingColumns=True)
+    out = scan(met, keys, [order, "_side"], {"_last": Fold("last", F.col("_taken"))}, by_quantiles(met, order, slices))
+    return out.where("_side = 1").select(*left.columns, *[F.col(f"_last.{c}").alias(c) for c in take])
 
 
 def within(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, end: str, width: int, closed: bool = False) -> DataFrame:

@@ -20,9 +20,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +109,10 @@ def features(text: str, automaton) -> tuple[float, float, int]:
         found = max(kinds.get("word", 0.0) if whole else 0.0, kinds.get("stem", 0.0))
         if found > starts.get(a, (0.0, 0))[0]:
             starts[a] = (found, b)
-    hits = [w for a, (w, b) in starts.items() if not any(x <= a and b <= y for x, y in harmless)]
+    # how far the exceptions that begin up to a place reach
+    harmless.sort()
+    begins, reach = [x for x, _ in harmless], list(accumulate((y for _, y in harmless), max))
+    hits = [w for a, (w, b) in starts.items() if not ((k := bisect_right(begins, a)) and reach[k - 1] >= b)]
     total = sum(hits)
     return math.log1p(total), total / math.sqrt(t.count(" ") + t.count("\n") + 1), len(hits)
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,14 +71,21 @@ class TokenTest:
 
 
 def token_spans(text: str, test: TokenTest, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    out = []
+    out, begins, ends = [], [], []
+    for _, x, y in sorted(taken, key=lambda t: t[1]):  # merged: apart, in order
+        if ends and x < ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            begins.append(x)
+            ends.append(y)
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         while a < b and text[a] in "=-_/+":
             a += 1
         while b > a and text[b - 1] in "-_/+":
             b -= 1
-        if not any(x < b and a < y for _, x, y in taken) and test(text[a:b]):
+        k = bisect_left(begins, b)  # those from k on begin after it; the one before reaches furthest
+        if not (k and ends[k - 1] > a) and test(text[a:b]):
             out.append(("token", a, b))
     return out
 

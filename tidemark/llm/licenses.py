@@ -66,6 +66,8 @@ EXACT = {
     "under the terms of the mozilla public license": ["mozilla"],
 }
 EDIT_SHARE, LEAST_PIECE = 12, 7
+#: Characters above which a part is looked through for any match first.
+LONG_PART = 300
 APART = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -85,6 +87,28 @@ def places(words: str, phrase: str) -> list[int]:
     return out
 
 
+def near(pattern: str, edits: int, text: str) -> list[tuple[int, int]]:
+    """The parts of text, apart and in order, that all matches within so many edits of pattern lie in: those that reach back
+    from each place where one ends. By bit-parallel columns, a few steps a character."""
+    out: list[tuple[int, int]] = []
+    masks: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, high = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
+    up, down, score = full, 0, len(pattern)
+    for at, c in enumerate(text, 1):
+        same = masks.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(across | up)) & full, up & across
+        score += bool(more & high) - bool(less & high)
+        if score <= edits:
+            begin = max(0, at - len(pattern) - edits)
+            out[-1:] = [(out[-1][0], at)] if out and begin <= out[-1][1] else [*out[-1:], (begin, at)]
+        more, less, sides = more << 1 & full, less << 1 & full, same | down
+        up, down = (less | ~(sides | more)) & full, more & sides
+    return out
+
+
 class Notices:
     """The automaton of all notices' pieces and their bounded-error patterns."""
 
@@ -121,12 +145,18 @@ class Notices:
                     spans.append((low, high))
         out = set()
         for n, spans in windows.items():
-            text, label, _, pattern = self.items[n]
+            text, label, k, pattern = self.items[n]
             exact = EXACT.get(text, [])
             for low, high in spans:
                 parts = [(low, min(high, len(words)))]
                 while parts:  # the best match of a part, then what stands before and after it
                     a, b = parts.pop()
+                    # of long parts, only those that hold matches go on to the slower search for the best one
+                    if b - a > LONG_PART:
+                        inner = [(a + x, a + y) for x, y in near(text, k, words[a:b])]
+                        if inner != [(a, b)]:
+                            parts += inner
+                            continue
                     if m := pattern.search(words, a, b):
                         if all(f" {x} " in f" {m[0]} " for x in exact):
                             out.add((label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)))

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from .plans import detection, eligibility, reads, telemetry, texts  # noqa: E402, F401  they register their queries
+from .plans import detection, eligibility, lines, reads, telemetry, texts  # noqa: E402, F401  they register their queries

@@ -97,3 +97,16 @@ def release(spark: SparkSession) -> None:
     """
     for path in list(WRITTEN.get(spark.sparkContext.applicationId, [])):
         _delete(spark, path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written to the shared folder within, by whatever operators: for work whose results are
+    saved elsewhere before that."""
+    app = spark.sparkContext.applicationId
+    before = set(WRITTEN.get(app, []))
+    try:
+        yield
+    finally:
+        for path in [p for p in WRITTEN.get(app, []) if p not in before]:
+            _delete(spark, path)

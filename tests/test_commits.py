@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.ids import behavior_ids
 from tidemark.operators import detection, record
-from tidemark.operators.interpret import interpret
+from tidemark.operators.interpret import generic
 from tidemark.sources import scratch
 from tidemark.sources.lines import split_text
 from tidemark.sources.store import Store
@@ -111,18 +112,16 @@ def run_lines(spark, k):
 def test_record_compares_with_stored_runs(spark, tmp_path):
     """A run that is recorded beside stored ones gets the signals that the events of all runs together give."""
     s, ids = Store(spark, str(tmp_path)), ["r1", "r2", "r3"]
-    lines = run_lines(spark, 1).unionByName(run_lines(spark, 2)).unionByName(run_lines(spark, 3))
-    masked = lines.withColumn("line", F.regexp_replace("line", "abcdef123456", "<SECRET>"))
-    runs = spark.createDataFrame([(r, "c", k, True) for k, r in enumerate(ids)], "run_id string, context string, started long, usable boolean")
-    stats = detection.stats_of(interpret(masked), runs, lines.select("run_id", "stream").distinct())
+    both = run_lines(spark, 1).unionByName(run_lines(spark, 2)).withColumn("line", F.regexp_replace("line", "abcdef123456", "<SECRET>"))
+    events = generic(both).withColumns({"behavior_id": behavior_ids("kind", "template"), "scope_id": F.lit(None).cast("string"), "arrival": F.struct("feed", "seq", "kind")})
+    runs = spark.createDataFrame([(r, "c", k, True) for k, r in enumerate(ids[:2])], "run_id string, context string, started long, usable boolean")
+    stats = detection.stats_of(events, runs, both.select("run_id", "stream").distinct())
     for k, r in enumerate(ids[:2]):
         s.finish({"run_id": r, "context": "c", "started_at_ms": k}, {t: df.where(F.col("run_id") == r) for t, df in (("run_sources", stats.runs), ("facts", stats.facts), ("cells", stats.cells))})
     record.record(s, {"run_id": "r3", "context": "c", "started_at_ms": 2}, run_lines(spark, 3).drop("run_id"))
-    columns = ["kind", "measure", "current", "median", "confidence", "tier", "group_rank", "place"]
-    got = s.table("signals", ["r3"])
-    want = detection.detect_runs(stats).where("run_id = 'r3'")
-    assert sorted(map(str, got.select("behavior_id", *columns).collect())) == sorted(map(str, want.select(F.col("behavior").alias("behavior_id"), *columns).collect()))
-    assert {r["kind"] for r in got.collect()} == {"new", "frequency"}
+    template = {r["behavior_id"]: r["template"] for r in s.behaviors().collect()}
+    got = {(template[r["behavior_id"]], r["kind"], r["measure"], r["current"], r["median"], r["tier"], r["group_rank"]) for r in s.table("signals", ["r3"]).collect()}
+    assert got == {("odd one out", "new", "count", 1.0, 0.0, 4, 2), ("ERROR boom password=<SECRET>", "frequency", "count", 9.0, 1.0, 3, 1)}
     kept = {r["line"] for r in s.table("exemplars").collect()}
     assert "ERROR boom password=<SECRET_1>" in kept and not any("abcdef123456" in x for x in kept)
     assert s.runs().where("run_id = 'r3'").first()["lines"] == 17

@@ -140,12 +140,18 @@ def eligible(stats: Stats, cases: DataFrame, pairs: DataFrame) -> tuple[DataFram
 NUMBERS = ["count", "errors", "ms", "total_ms", "queries", "loose_queries", "unattributed", "unscoped", "units", "sole", "size", "seq", "reasons", "measures"]
 
 
-def wide(stats: Stats, bases: DataFrame, known: DataFrame) -> DataFrame:
+def wide(stats: Stats, bases: DataFrame, known: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """A row for each behavior of a case: now (its numbers in the run, or null), then (those in the runs of its baseline that
-    have it), and what it is: kind, template, stream and loose (no scope), as the run or else the newest of the others has it."""
+    have it), and what it is: kind, template, stream and loose (no scope), as the run or else the newest of the others has it.
+
+    wanted: case, behavior of the only ones that are asked for; then no others are read, however many the runs have.
+    """
     keep = ["behavior", F.struct("kind", "template", "stream", (F.col("scopes") == 0).alias("loose")).alias("what"), F.col("stream").alias("on"), F.struct(*NUMBERS).alias("numbers")]
-    own = stats.facts.join(known.select("case", "run_id"), "run_id").select("case", *keep, F.lit(1 << 30).alias("ord"))
-    base = stats.facts.join(bases.withColumnRenamed("base", "run_id"), "run_id").select("case", *keep, F.col("ord").cast("int").alias("ord"))
+    now, then, on = known.select("case", "run_id"), bases.withColumnRenamed("base", "run_id"), ["run_id"]
+    if wanted is not None:
+        now, then, on = now.join(wanted, "case"), then.join(wanted, "case"), ["run_id", "behavior"]
+    own = stats.facts.join(now, on).select("case", *keep, F.lit(1 << 30).alias("ord"))
+    base = stats.facts.join(then, on).select("case", *keep, F.col("ord").cast("int").alias("ord"))
     is_now = F.col("ord") == 1 << 30
     met = own.unionByName(base).groupBy("case", "behavior").agg(
         F.max_by("what", "ord").alias("what"), F.collect_set("on").alias("streams"), F.first(F.when(is_now, F.col("numbers")), ignorenulls=True).alias("now"), F.collect_list(F.when(~is_now, F.col("numbers"))).alias("then")
@@ -324,17 +330,37 @@ def _tiered(found: DataFrame) -> DataFrame:
 OUT = ["context", "run", "run_id", "behavior", "behavior_kind", "template", "kind", "measure", "current", "baseline_runs", "present_in", "median", "min", "max", "failures", "exception", "scope", "scope_current", "scope_baseline", "confidence", "tier", "group_key", "group_rank", "place", "head"]
 
 
-def signals(stats: Stats, cases: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The signals of cases (own_cases), unranked: case, run_id, behavior, kind, measure and their numbers, scopes, tier and group_key."""
-    bases, _, known = eligible(stats, cases, pairs)
-    rows = materialise(wide(stats, bases, known), "wide")
+def _unowned(stats: Stats, bases: DataFrame, known: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The signals of cases, before it is asked what they are worth; written."""
+    rows = materialise(wide(stats, bases, known, wanted), "wide")
     judged, shown = materialise(_judged(rows), "judged"), materialise(_incomplete(rows), "incomplete")
     found = _spoken_for(_unstalled(judged, rows, stats, bases, known), stats, bases, known)
     # the error that left a run incomplete is named once, as that
     found = found.join(shown.where("measure <> 'events_past_cap'").select("case", "behavior"), ["case", "behavior"], "left_anti")
     found = materialise(found.unionByName(shown), "found")
+    discard(rows, judged, shown)
+    return found
+
+
+def _asked(stats: Stats, raised: DataFrame, met: DataFrame, bases: DataFrame, known: DataFrame) -> DataFrame:
+    """case, behavior of all that the rules read to judge raised signals (run_id, behavior, kind) again in cases (met: case,
+    run_id): these behaviors; what may show that a run is incomplete; and where an example's latency is asked for, the
+    other examples, which may speak against it."""
+    of = stats.facts.select("run_id", "behavior", "kind", "stream")
+    own = met.join(raised.select("run_id", "behavior").distinct(), "run_id").select("case", "behavior")
+    runs = known.select("case", "run_id").union(bases.select("case", F.col("base").alias("run_id")))
+    few = of.where((F.col("kind") == "test.summary") | ((F.col("kind") == "exception") & (F.col("stream") == RUNNER)) | (F.col("behavior") == aggregate.OVERFLOW))
+    slow = raised.where("kind = 'latency'").select("run_id", "behavior").join(of.where("kind = 'test.example'").select("behavior").distinct(), "behavior", "left_semi").select("run_id").distinct()
+    timed = runs.join(met.join(slow, "run_id", "left_semi").select("case"), "case", "left_semi")
+    return own.union(runs.join(few, "run_id").select("case", "behavior")).union(timed.join(of.where("kind = 'test.example'"), "run_id").select("case", "behavior")).distinct()
+
+
+def signals(stats: Stats, cases: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The signals of cases (own_cases), unranked: case, run_id, behavior, kind, measure and their numbers, scopes, tier and group_key."""
+    bases, _, known = eligible(stats, cases, pairs)
+    found = _unowned(stats, bases, known)
     out = materialise(detect.collapse(_tiered(_owned(found, stats, bases, known)), ["case"]), "signals")
-    discard(rows, judged, shown, found)
+    discard(found, bases, known)
     return out
 
 
@@ -360,9 +386,10 @@ def votes(stats: Stats, raised: DataFrame) -> DataFrame:
     met = origin.join(later, "context").where("later_ord >= ord").withColumn("case", F.concat_ws("\x1f", "run_id", "later"))
     asked = met.select("case", F.col("later").alias("run_id"))
     again = met.select("case", "later", F.col("run_id").alias("origin")).join(bases.select(F.col("case").alias("origin"), F.col("base").alias("candidate"), "ord"), "origin").select("case", F.col("later").alias("run_id"), "candidate", "ord")
-    _, _, known = eligible(stats, asked, again)
+    rebased, _, known = eligible(stats, asked, again)
     speaks = known.where("incomplete is null and past_now = 0").select("case")
-    fired = signals(stats, asked, again).select("case", "behavior", "kind", "measure").distinct().withColumn("fired", F.lit(True))
+    wanted = materialise(_asked(stats, raised, met, rebased, known), "wanted")
+    fired = _unowned(stats, rebased, known, wanted).select("case", "behavior", "kind", "measure").distinct().withColumn("fired", F.lit(True))
     keys = ["behavior", "kind", "measure"]
     both = raised.select("run_id", *keys).distinct().join(met, "run_id").join(fired, ["case", *keys], "left").withColumn("firing", F.coalesce("fired", F.lit(False)))
     own = both.where("later = run_id").select("run_id", *keys, F.col("firing").alias("reproducible"))

@@ -57,24 +57,24 @@ f0 AS (
   UNION ALL SELECT run, 'sq-' || (user_id % 20), 'db.query', 'sql', '', count(*), 0, sum(us) / 1000.0::DOUBLE, NULL, min(event_id) FROM v WHERE event_type = 'view' GROUP BY ALL
   UNION ALL SELECT run, 'er-' || (user_id % 30), 'log', 'stderr', rpad('warning ' || ((user_id % 30) % 6), 60, '.') || (user_id % 30), count(*), 0, NULL, NULL, min(event_id) FROM v WHERE event_type = 'error' GROUP BY ALL),
 past AS (SELECT ord, count(*) FILTER (WHERE event_type = 'purchase' AND cut) AS past, count(DISTINCT CASE WHEN event_type = 'signup' THEN user_id END) AS size FROM v JOIN r USING (run) GROUP BY ord),
-cl AS (SELECT ord, 'sq-' || (user_id % 20) AS beh, 'ex-' || user_id AS scope, count(*) AS n FROM v JOIN ran USING (run, user_id) JOIN r USING (run) WHERE event_type = 'view' GROUP BY ALL),
+cl AS MATERIALIZED (SELECT ord, 'sq-' || (user_id % 20) AS beh, 'ex-' || user_id AS scope, count(*) AS n FROM v JOIN ran USING (run, user_id) JOIN r USING (run) WHERE event_type = 'view' GROUP BY ALL),
 made AS (SELECT ord, scope AS beh, CAST(sum(n) AS DOUBLE) AS made FROM cl GROUP BY ALL),
 inside AS (SELECT ord, beh, sum(n) AS scoped, count(*) AS scopes, max(scope) AS one FROM cl GROUP BY ALL),
-f AS (SELECT r.ord, f0.*, total / f0.n AS ms, past, size, coalesce(scopes, 0) AS scopes, one, f0.n - coalesce(scoped, 0) AS loose,
+f AS MATERIALIZED (SELECT r.ord, f0.*, total / f0.n AS ms, past, size, coalesce(scopes, 0) AS scopes, one, f0.n - coalesce(scoped, 0) AS loose,
              CASE WHEN kind = 'test.example' THEN CASE WHEN past = 0 THEN coalesce(made, 0.0) END ELSE q END AS queries
       FROM f0 JOIN r USING (run) JOIN past USING (ord) LEFT JOIN made USING (ord, beh) LEFT JOIN inside USING (ord, beh)),
-w AS (SELECT c.ord, least(c.ord - 1, 10) AS nb, beh, kind, class, any_value(tmpl) AS tmpl, max(CASE WHEN f.ord = c.ord THEN f.n END) AS cur, max(CASE WHEN f.ord = c.ord THEN bad END) AS bad, max(CASE WHEN f.ord = c.ord THEN queries END) AS q,
+w AS MATERIALIZED (SELECT c.ord, least(c.ord - 1, 10) AS nb, beh, kind, class, any_value(tmpl) AS tmpl, max(CASE WHEN f.ord = c.ord THEN f.n END) AS cur, max(CASE WHEN f.ord = c.ord THEN bad END) AS bad, max(CASE WHEN f.ord = c.ord THEN queries END) AS q,
              max(CASE WHEN f.ord = c.ord THEN ms END) AS ms, max(CASE WHEN f.ord = c.ord THEN total END) AS total, max(CASE WHEN f.ord = c.ord THEN scopes END) AS units, max(CASE WHEN f.ord = c.ord THEN loose END) AS loose,
              coalesce(list(CAST(f.n AS DOUBLE)) FILTER (WHERE f.ord < c.ord), []) AS ns, coalesce(list(queries) FILTER (WHERE f.ord < c.ord AND queries IS NOT NULL), []) AS qs, coalesce(list(ms) FILTER (WHERE f.ord < c.ord AND ms IS NOT NULL), []) AS mss,
              coalesce(list(total) FILTER (WHERE f.ord < c.ord AND total IS NOT NULL), []) AS totals, coalesce(list(CAST(loose AS DOUBLE)) FILTER (WHERE f.ord < c.ord), []) AS looses, coalesce(list(f.n::DOUBLE / size) FILTER (WHERE f.ord < c.ord AND size > 0), []) AS rates,
              count(*) FILTER (WHERE f.ord < c.ord AND bad > 0) AS failures, bool_and(scopes = 1 AND loose = 0) AND count(DISTINCT one) = 1 AS single, max(one) AS one
       FROM r c JOIN f ON f.ord BETWEEN c.ord - 10 AND c.ord WHERE c.ord > 1 GROUP BY c.ord, beh, kind, class),
-b AS (SELECT c.ord, c.past, c.size, list(CAST(o.past AS DOUBLE)) AS pasts, bool_and(o.past > 0) AS all_past, bool_and(o.size > 0) AND bool_or(o.size <> c.size) AND c.size > 0 AS resized FROM past c JOIN past o ON o.ord BETWEEN c.ord - 10 AND c.ord - 1 GROUP BY c.ord, c.past, c.size),
+b AS MATERIALIZED (SELECT c.ord, c.past, c.size, list(CAST(o.past AS DOUBLE)) AS pasts, bool_and(o.past > 0) AS all_past, bool_and(o.size > 0) AND bool_or(o.size <> c.size) AND c.size > 0 AS resized FROM past c JOIN past o ON o.ord BETWEEN c.ord - 10 AND c.ord - 1 GROUP BY c.ord, c.past, c.size),
 kd AS (SELECT ord, kind, sum(total) AS t FROM f WHERE total IS NOT NULL GROUP BY ALL),
 win AS (SELECT c.ord, kind, max(CASE WHEN kd.ord = c.ord THEN t END) AS now, median(CASE WHEN kd.ord < c.ord THEN t END) AS mid, mad(CASE WHEN kd.ord < c.ord THEN t END) AS spread FROM r c JOIN kd ON kd.ord BETWEEN c.ord - 10 AND c.ord GROUP BY ALL),
-slow AS (SELECT w.ord, w.beh, w.ms - list_aggregate(w.mss, 'median') AS slow, f.seq FROM w JOIN f USING (ord, beh) WHERE w.class = 'example' AND cur IS NOT NULL),
+slow AS MATERIALIZED (SELECT w.ord, w.beh, w.ms - list_aggregate(w.mss, 'median') AS slow, f.seq FROM w JOIN f USING (ord, beh) WHERE w.class = 'example' AND cur IS NOT NULL),
 near AS (SELECT *, greatest(lag(slow) OVER o, lead(slow) OVER o) AS neighbour FROM slow WINDOW o AS (PARTITION BY ord ORDER BY seq, beh)),
-s0 AS (
+s0 AS MATERIALIZED (
   SELECT ord, beh, CASE WHEN cur IS NOT NULL THEN 'new' ELSE 'disappeared' END AS kind, 'count' AS measure, coalesce(cur, 0)::DOUBLE AS current, nb AS base, len(ns) AS present_in, {MIDDLE.format("ns")} AS median, round((nb + 1.0::DOUBLE) / (nb + 2.0::DOUBLE), 2) AS confidence
   FROM w JOIN b USING (ord) WHERE nb >= 2 AND ((cur IS NOT NULL AND len(ns) = 0 AND (kind = 'test.example' OR NOT all_past)) OR (cur IS NULL AND len(ns) = nb AND (kind = 'test.example' OR past = 0)))
   UNION ALL SELECT ord, beh, 'frequency', 'count', cur, nb, nb, {MIDDLE.format("ns")}, {SURE.format("ns", "cur")} FROM w WHERE nb >= 2 AND class <> 'example' AND cur IS NOT NULL AND len(ns) = nb AND {FIRES.format("ns", "cur")}
@@ -95,13 +95,13 @@ s1 AS (SELECT s0.*, class, tmpl, CASE WHEN class = 'example' THEN 'example:' ||
               CASE WHEN class <> 'example' THEN own.scope END AS scope,
               s0.kind = 'frequency' AND s0.measure = 'count' AND resized AND units >= 2 AND NOT ({FIRES.format("rates", "(cur::DOUBLE / size)")}) AS by_size
        FROM s0 JOIN w USING (ord, beh) JOIN b USING (ord) LEFT JOIN own USING (ord, beh, measure)),
-s2 AS (SELECT ord, beh, kind, measure, current, base, present_in, median, confidence, scope, spot, class = 'example' AND kind IN ('new', 'disappeared') AS moved, split_part(tmpl, ' # ', 1) AS file,
+s2 AS MATERIALIZED (SELECT ord, beh, kind, measure, current, base, present_in, median, confidence, scope, spot, class = 'example' AND kind IN ('new', 'disappeared') AS moved, split_part(tmpl, ' # ', 1) AS file,
               CASE WHEN coalesce(by_size, FALSE) OR coalesce(spot, '') = 'setup' THEN 5 WHEN kind = 'error' THEN 1 WHEN (kind = 'frequency' AND class = 'request') OR (kind = 'new' AND class = 'stderr') OR (kind = 'latency' AND class IN ('example', 'request')) THEN 2 WHEN kind = 'frequency' THEN 3 ELSE 4 END AS tier,
               CASE WHEN spot IS NOT NULL THEN '1:' || spot WHEN class = 'stderr' THEN '3:' || substr(tmpl, 1, 60) ELSE '4:' || beh END AS key FROM s1
        UNION ALL SELECT ord, '<behaviors past the cap>', 'incomplete', 'events_past_cap', past, least(ord - 1, 10), len(list_filter(pasts, lambda p: p > 0)), {MIDDLE.format("pasts")}, round((least(ord - 1, 10) + 1.0::DOUBLE) / (least(ord - 1, 10) + 2.0::DOUBLE), 2), NULL, NULL, FALSE, NULL, 1, '0' FROM b WHERE past > 0),
 col AS (SELECT ord, 'example:' || beh AS spot, '2:' || kind || ':' || file AS key FROM s2 WHERE moved QUALIFY count(*) OVER (PARTITION BY ord, kind, file) > 1),
 s3 AS (SELECT s2.* EXCLUDE (key), coalesce(col.key, s2.key) AS key, list_position(['incomplete', 'error', 'new', 'disappeared', 'frequency', 'latency'], kind) AS ko FROM s2 LEFT JOIN col USING (ord, spot)),
-i AS (SELECT *, row_number() OVER (PARTITION BY ord, key ORDER BY moved DESC, tier, confidence DESC, ko, beh, measure) AS place FROM s3),
+i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ord, key ORDER BY moved DESC, tier, confidence DESC, ko, beh, measure) AS place FROM s3),
 h AS (SELECT ord, key, row_number() OVER (PARTITION BY ord ORDER BY tier, confidence DESC, ko, beh, measure) AS group_rank FROM i WHERE place = 1)
 """
 )
@@ -117,6 +117,18 @@ def detected_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.detect_runs(suite_stats(spark, sf_dir)).select("run", "behavior", "kind", "measure", "current", "baseline_runs", "present_in", "median", "scope", "confidence", "tier", "group_key", "group_rank", "place", "head")
 
 
+@query(DETECTED + "SELECT run, beh AS behavior, kind, measure, scope, CAST(tier AS INT) AS tier, key AS group_key FROM s3 JOIN r USING (ord)")
+def detected_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose the signals are: the scope that moved alone, what they are worth, and what they are grouped under."""
+    return detection.detect_runs(suite_stats(spark, sf_dir)).select("run", "behavior", "kind", "measure", "scope", "tier", "group_key")
+
+
+@query(DETECTED + "SELECT run, beh AS behavior, kind, measure, CAST(group_rank AS INT) AS group_rank, CAST(place AS INT) AS place FROM i JOIN h USING (ord, key) JOIN r USING (ord)")
+def detected_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the groups of each run, and of the signals of each group."""
+    return detection.detect_runs(suite_stats(spark, sf_dir)).select("run", "behavior", "kind", "measure", "group_rank", "place")
+
+
 @query(DETECTED + "SELECT run, kind, count(*) AS signals, count(DISTINCT key) AS groups, count(*) FILTER (WHERE tier = 5) AS explained FROM s3 JOIN r USING (ord) GROUP BY ALL")
 def detected_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many signals of each kind a day has, in how many groups, and how many of them setup or the suite's size explains."""

@@ -38,21 +38,54 @@ def histogram(events: DataFrame, keys: Sequence[str], duration: str = "duration_
     return events.where(F.col(duration).isNotNull()).groupBy(*keys, bucket(F.col(duration)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quantiles(events: DataFrame, keys: Sequence[str], duration: str = "duration_us", at: dict[str, float] | None = None) -> DataFrame:
-    """Duration count, total and max of each group, exact; and quantiles from its histogram, to two digits.
+def cells(events: DataFrame, keys: Sequence[str], duration: str = "duration_us") -> DataFrame:
+    """State of each group's durations that can be added up: a row for each bucket (null: no duration), at most 257 a group,
+    with n, errors, total, most and, where events have an arrival, first (the least)."""
+    first = [F.min("arrival").alias("first")] if "arrival" in events.columns else []
+    failed = F.count_if(F.col("outcome") == "failure") if "outcome" in events.columns else F.lit(0).cast("long")
+    return events.groupBy(*keys, bucket(F.col(duration)).alias("bucket")).agg(F.count("*").alias("n"), failed.alias("errors"), F.sum(duration).alias("total"), F.max(duration).alias("most"), *first)
+
+
+def merged(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The state of all events that states (cells, of any parts of them) stand for, in any order and grouping."""
+    first = [F.min("first").alias("first")] if "first" in states.columns else []
+    return states.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.sum("total").alias("total"), F.max("most").alias("most"), *first)
+
+
+def from_cells(state: DataFrame, keys: Sequence[str], at: dict[str, float] | None = None) -> DataFrame:
+    """keys, count, errors, duration count, total and max of each group, exact; and quantiles from its histogram, to two digits.
 
     A quantile is the midpoint of the first bucket at whose end at least ceil(q * count) durations lie, at most the max.
-    A group has at most 256 buckets, so the window over them is bounded.
+    A group has at most 257 rows, so the window over them is bounded.
     """
     at = {"p50_us": 0.5, "p95_us": 0.95} if at is None else at
-    cells = events.where(F.col(duration).isNotNull()).groupBy(*keys, bucket(F.col(duration)).alias("bucket")).agg(F.count("*").alias("n"), F.sum(duration).alias("total"), F.max(duration).alias("most"))
+    timed = F.when(F.col("bucket").isNotNull(), F.col("n"))
     upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    ranked = cells.withColumn("seen", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole))
+    ranked = state.withColumn("seen", F.sum(timed).over(upto)).withColumn("all", F.sum(timed).over(whole))
     first = [F.min(F.when(F.col("seen") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("all"))), F.col("bucket"))).alias(f"b_{name}") for name, q in at.items()]
-    sums = ranked.groupBy(*keys).agg(F.sum("n").alias("duration_count"), F.sum("total").cast("long").alias("duration_total_us"), F.max("most").cast("long").alias("max_us"), *first)
+    sums = ranked.groupBy(*keys).agg(
+        F.sum("n").alias("count"), F.sum("errors").alias("errors"), F.sum(timed).alias("duration_count"), F.sum("total").cast("long").alias("duration_total_us"), F.max("most").cast("long").alias("max_us"), *first
+    )
     estimates = [round_sig_long(F.least(midpoint(F.col(f"b_{name}")), F.col("max_us")), 2).alias(name) for name in at]
-    return sums.select(*keys, "duration_count", "duration_total_us", *estimates, "max_us")
+    return sums.select(*keys, "count", "errors", "duration_count", "duration_total_us", *estimates, "max_us")
+
+
+def quantiles(events: DataFrame, keys: Sequence[str], duration: str = "duration_us", at: dict[str, float] | None = None) -> DataFrame:
+    """Duration count, total, quantiles and max of the groups that have durations."""
+    return from_cells(cells(events.where(F.col(duration).isNotNull()), keys, duration), keys, at).drop("count", "errors")
+
+
+def folded(state: DataFrame, most: int = MOST_BEHAVIORS, run: str = "run_id", behavior: str = "behavior_id") -> DataFrame:
+    """A state with first and kind, in which behaviors past the first `most` of a run are one without durations, as capped() has it."""
+    firsts = state.groupBy(run, behavior, "kind").agg(F.min("first").alias("at"))
+    place = F.row_number().over(Window.partitionBy(run).orderBy("at", behavior))
+    past = firsts.withColumn("place", place).where((F.col("place") > most) & ~F.col("kind").isin(*UNCAPPED)).select(run, behavior, F.lit(True).alias("past"))
+    marked = state.join(past, [run, behavior], "left")
+    over = F.coalesce("past", F.lit(False))
+    lost = {c: F.when(~over, F.col(c)) for c in ("bucket", "total", "most")}
+    out = marked.withColumns(lost | {behavior: F.when(over, F.lit(OVERFLOW)).otherwise(F.col(behavior)), "kind": F.when(over, F.lit("log")).otherwise(F.col("kind"))}).drop("past")
+    return merged(out, [run, behavior, "kind"])
 
 
 def exact_once(stats: DataFrame) -> DataFrame:
@@ -63,8 +96,7 @@ def exact_once(stats: DataFrame) -> DataFrame:
 
 def behavior_stats(events: DataFrame, keys: Sequence[str] = ("run_id", "behavior_id")) -> DataFrame:
     """count, errors, and the duration summary of each group."""
-    counts = events.groupBy(*keys).agg(F.count("*").alias("count"), F.count_if(F.col("outcome") == "failure").alias("errors"))
-    return counts.join(quantiles(events, keys), list(keys), "left")
+    return exact_once(from_cells(cells(events, keys), keys))
 
 
 def capped(events: DataFrame, most: int = MOST_BEHAVIORS, overflow_id: str = OVERFLOW) -> DataFrame:

@@ -64,9 +64,7 @@ HISTOGRAM = (
 )
 
 
-@query(
-    HISTOGRAM
-    + """, o AS (SELECT *, row_number() OVER (PARTITION BY run, event_type ORDER BY bucket) AS place, count(*) OVER (PARTITION BY run, event_type) AS n FROM b),
+QUANTILES = """, o AS (SELECT *, row_number() OVER (PARTITION BY run, event_type ORDER BY bucket) AS place, count(*) OVER (PARTITION BY run, event_type) AS n FROM b),
 s AS (SELECT run, event_type, count(*) AS duration_count, CAST(sum(us) AS BIGINT) AS duration_total_us, max(us) AS max_us,
              max(CASE WHEN place = greatest(1, ceil(0.5 * n)) THEN bucket END) AS b50, max(CASE WHEN place = greatest(1, ceil(0.95 * n)) THEN bucket END) AS b95 FROM o GROUP BY run, event_type),
 m AS (SELECT *, least(max_us, CASE WHEN b50 < 4 THEN b50 ELSE (4 + b50 % 4) * (1::BIGINT << (b50 // 4 - 2)) + (1::BIGINT << (b50 // 4 - 2)) // 2 END) AS q50,
@@ -74,11 +72,21 @@ m AS (SELECT *, least(max_us, CASE WHEN b50 < 4 THEN b50 ELSE (4 + b50 % 4) * (1
 SELECT run, event_type, duration_count, duration_total_us,
        CAST(CASE WHEN q50 < 100 THEN q50 ELSE (q50 + CAST(10 ** (length(q50::VARCHAR) - 2) AS BIGINT) // 2) // CAST(10 ** (length(q50::VARCHAR) - 2) AS BIGINT) * CAST(10 ** (length(q50::VARCHAR) - 2) AS BIGINT) END AS BIGINT) AS p50_us,
        CAST(CASE WHEN q95 < 100 THEN q95 ELSE (q95 + CAST(10 ** (length(q95::VARCHAR) - 2) AS BIGINT) // 2) // CAST(10 ** (length(q95::VARCHAR) - 2) AS BIGINT) * CAST(10 ** (length(q95::VARCHAR) - 2) AS BIGINT) END AS BIGINT) AS p95_us, max_us FROM m"""
-)
+
+
+@query(HISTOGRAM + QUANTILES)
 def duration_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.quantiles(day_events(spark, sf_dir), ["run", "event_type"])
 
 
+@query(HISTOGRAM + QUANTILES)
+def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from states of seven parts of the events, each reduced by itself and then added up."""
+    e, keys = day_events(spark, sf_dir), ["run", "event_type"]
+    states = aggregate.cells(e.withColumn("part", F.col("arrival") % 7), [*keys, "part"]).drop("part")
+    return aggregate.from_cells(aggregate.merged(states, keys), keys).drop("count", "errors")
+
+
 @query(HISTOGRAM + "SELECT run, event_type, CAST(bucket AS INT) AS bucket, count(*) AS n FROM b GROUP BY ALL")
 def duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.histogram(day_events(spark, sf_dir), ["run", "event_type"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, compare, detection, outcomes
+from ..operators import aggregate, compare, detection, explain, outcomes
 from ..registry import query
 from .telemetry import DAYS
 
@@ -136,6 +136,25 @@ def detected_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("run", "kind").agg(F.count("*").alias("signals"), F.count_distinct("group_key").alias("groups"), F.count_if(F.col("tier") == 5).alias("explained"))
 
 
+@query(
+    DETECTED
+    + """, ex AS (SELECT DISTINCT ord, beh FROM s0),
+vs AS (SELECT ex.ord, ex.beh, string_agg(CAST(coalesce(f.n, 0) AS VARCHAR), ',' ORDER BY o.ord) AS baseline FROM ex JOIN r o ON o.ord BETWEEN ex.ord - 10 AND ex.ord - 1 LEFT JOIN f ON f.ord = o.ord AND f.beh = ex.beh GROUP BY ALL),
+sc AS (SELECT ex.ord, ex.beh, cl.scope, max(CASE WHEN cl.ord = ex.ord THEN cl.n END) AS own, list(cl.n::DOUBLE) FILTER (WHERE cl.ord < ex.ord) AS v FROM ex JOIN cl ON cl.beh = ex.beh AND cl.ord BETWEEN ex.ord - 10 AND ex.ord GROUP BY ALL),
+mv AS (SELECT ord, beh, count(*) AS moved_scopes FROM sc
+       WHERE coalesce(own, 0) <> list_aggregate(list_concat(coalesce(v, []), list_transform(range(least(ord - 1, 10) - coalesce(len(v), 0)), lambda x: 0.0::DOUBLE)), 'median') GROUP BY ALL),
+mb AS (SELECT ord, key, string_agg(beh || ' ' || kind || ' ' || measure, ',' ORDER BY place) AS members FROM i GROUP BY ALL)
+SELECT run, i.beh AS behavior, i.kind, i.measure, baseline, coalesce(moved_scopes, 0) AS moved_scopes, members
+FROM i JOIN r USING (ord) JOIN mb USING (ord, key) JOIN vs ON vs.ord = i.ord AND vs.beh = i.beh LEFT JOIN mv ON mv.ord = i.ord AND mv.beh = i.beh WHERE i.kind <> 'incomplete'"""
+)
+def explained_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signal with its values before, how many of its scopes moved, and the members of its group."""
+    stats = suite_stats(spark, sf_dir)
+    rows = explain.explained(stats, detection.detect_runs(stats)).where("kind <> 'incomplete'")
+    values, members = F.transform("baseline", lambda x: x["count"].cast("string")), F.transform("members", lambda x: F.concat_ws(" ", x["behavior"], x["kind"], x["measure"]))
+    return rows.select("run", "behavior", "kind", "measure", F.array_join(values, ",").alias("baseline"), "moved_scopes", F.array_join(members, ",").alias("members"))
+
+
 @query()
 def detected_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What later days say of every day's signals, each judged by the baseline of its own day."""

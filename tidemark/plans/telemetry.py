@@ -320,6 +320,25 @@ def signal_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.outcomes(votes, ["run", "user_id"]).select("run", "user_id", "status", "resolved_in", "recurred_in", "recurrences")
 
 
+@query(
+    OUTCOME
+    + """, d AS (SELECT DISTINCT run, user_id % 11 AS grp FROM s WHERE user_id % 7 = 0),
+h AS (SELECT s.run, s.user_id, g.status, row_number() OVER (PARTITION BY s.user_id ORDER BY s.run) AS place FROM s JOIN g ON g.run = s.run AND g.user_id = s.user_id LEFT JOIN d ON d.run = s.run AND d.grp = s.user_id % 11
+      WHERE g.status IN ('open', 'recurred') AND d.run IS NULL AND s.user_id NOT IN (SELECT user_id FROM s WHERE ord = (SELECT max(ord) FROM r)))
+SELECT run, user_id, status FROM h WHERE place = 1"""
+)
+def open_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reminders: the oldest signal of each user that still holds, unless its group was judged or the last day raises it again."""
+    found, votes = judged_frequencies(spark, sf_dir)
+    outcome = outcomes.outcomes(votes, ["run", "user_id"])
+    signals = found.withColumn("group_key", (F.col("user_id") % 11).cast("string"))
+    last = day_runs(day_events(spark, sf_dir)).agg(F.max("run").alias("run"))
+    now = signals.join(F.broadcast(last), "run", "left_semi").select("user_id")
+    judged = signals.where("user_id % 7 = 0").select("run", "group_key").distinct()
+    held = outcomes.still_open(signals, outcome, now, judged, ["user_id"])
+    return held.join(outcome.select("run", "user_id", "status"), ["run", "user_id"]).select("run", "user_id", "status")
+
+
 @query(
     OUTCOME
     + """, k AS (SELECT s.run, s.user_id, CASE WHEN lo = hi THEN 'exact' ELSE 'varying' END AS kind, coalesce(g.status, 'open') AS status, s.user_id % 3 = 0 AS examined, s.user_id % 7 = 0 AS dismissed

@@ -8,6 +8,8 @@ State within a stream (open request, running offset) is folded over slices of se
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,24 @@ def _event(kind, template, duration_us=None, outcome=None, scope=None, measures=
 
 
 KEYS = ["run_id", "feed", "stream", "seq", "line"]
+EVENT = [*KEYS, "kind", "template", "duration_us", "outcome", "scope", "measures"]
+#: From lines to the events of those that it claims.
+Interpreter = Callable[[DataFrame], DataFrame]
+#: Interpreters that every interpretation asks first, by name, in order of registration.
+CLAIMS: dict[str, Interpreter] = {}
+
+
+def register(name: str, interpreter: Interpreter | None) -> None:
+    """Adds an interpreter to those that are always asked, in place of one of the same name; None takes it out."""
+    if interpreter is None:
+        CLAIMS.pop(name, None)
+    else:
+        CLAIMS[name] = interpreter
+
+
+def event_rows(lines: DataFrame, kind: str | Column, template: Column, duration_us: Column | None = None, outcome: Column | None = None, scope: Column | None = None, measures: Column | None = None) -> DataFrame:
+    """An event a line, for interpreters of one's own."""
+    return lines.select(*KEYS, *_event(kind, template, duration_us, outcome, scope, measures))
 
 
 def generic(lines: DataFrame, roots: Roots | None = None) -> DataFrame:
@@ -210,17 +230,26 @@ def resources(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.lit(9).alias("feed"), F.lit("resources").alias("stream"), F.lit(1).cast("long").alias("seq"), F.lit("").alias("line"), *_event("run.resources", F.lit("process resources"), measures=F.create_map(*named)))
 
 
-def interpret(lines: DataFrame, roots: Roots | None = None, usage: DataFrame | None = None) -> DataFrame:
+def interpret(lines: DataFrame, roots: Roots | None = None, usage: DataFrame | None = None, first: Sequence[Interpreter] = ()) -> DataFrame:
     """All events of lines, with behavior_id, scope_id and arrival, their place in the run by feed, then seq.
 
-    usage: what resources() takes, a row for each run that measured any.
+    usage: what resources() takes, a row for each run that measured any. first: interpreters of one's own (functions from
+    lines to event_rows() of those that they claim), asked in this order before the library's; a line that one claims goes to
+    no other.
     """
-    runner, cargo = rspec(lines), libtest(lines)
-    log = attribute(rails(lines, roots), lines)
-    claimed = runner.select("run_id", "stream", "seq").union(cargo.select("run_id", "stream", "seq")).distinct().union(cargo_notices(lines))
-    ignored = lines.where((F.col("stream") == EVENTS) & F.get_json_object("line", "$.event").isNotNull()).select("run_id", "stream", "seq")
-    rest = lines.where((F.col("stream") != LOG) & (F.trim("line") != "")).join(claimed.union(ignored), ["run_id", "stream", "seq"], "left_anti")
+    left, own = lines, []
+    for ask in (*first, *CLAIMS.values()):
+        mine = ask(left).select(*EVENT)
+        own.append(mine)
+        left = left.join(mine.select("run_id", "stream", "seq").distinct(), ["run_id", "stream", "seq"], "left_anti")
+    runner, cargo = rspec(left), libtest(left)
+    log = attribute(rails(left, roots), lines)  # offsets count all lines, whoever claims them
+    claimed = runner.select("run_id", "stream", "seq").union(cargo.select("run_id", "stream", "seq")).distinct().union(cargo_notices(left))
+    ignored = left.where((F.col("stream") == EVENTS) & F.get_json_object("line", "$.event").isNotNull()).select("run_id", "stream", "seq")
+    rest = left.where((F.col("stream") != LOG) & (F.trim("line") != "")).join(claimed.union(ignored), ["run_id", "stream", "seq"], "left_anti")
     events = runner.unionByName(cargo).unionByName(log).unionByName(generic(rest, roots))
+    for mine in own:
+        events = events.unionByName(mine)
     if usage is not None:
         events = events.unionByName(resources(usage))
     named = events.withColumn("behavior_id", behavior_ids("kind", "template"))

@@ -121,7 +121,7 @@ def test_record_compares_with_stored_runs(spark, tmp_path):
     record.record(s, {"run_id": "r3", "context": "c", "started_at_ms": 2}, run_lines(spark, 3).drop("run_id"))
     template = {r["behavior_id"]: r["template"] for r in s.behaviors().collect()}
     got = {(template[r["behavior_id"]], r["kind"], r["measure"], r["current"], r["median"], r["tier"], r["group_rank"]) for r in s.table("signals", ["r3"]).collect()}
-    assert got == {("odd one out", "new", "count", 1.0, 0.0, 4, 2), ("ERROR boom password=<SECRET>", "frequency", "count", 9.0, 1.0, 3, 1)}
+    assert got == {("odd one out", "new", "count", 1.0, None, 4, 2), ("ERROR boom password=<SECRET>", "frequency", "count", 9.0, 1.0, 3, 1)}
     kept = {r["line"] for r in s.table("exemplars").collect()}
     assert "ERROR boom password=<SECRET_1>" in kept and not any("abcdef123456" in x for x in kept)
     assert s.runs().where("run_id = 'r3'").first()["lines"] == 17

@@ -1,10 +1,13 @@
 """Days with very many signals, behaviors and lines: counted whole, and in steps that don't grow with pairs of runs."""
 
 import datetime
+import random
+import re
 
 import duckdb
 import pytest
 
+from tidemark.operators import compare
 from tidemark.registry import ORACLES, QUERIES
 
 
@@ -34,3 +37,34 @@ def test_a_flood_is_counted(spark, flood, name):
     columns, want = wanted(flood, name)
     got = sorted(tuple(r[c] for c in columns) for r in QUERIES[name](spark, flood).collect())
     assert got == want and max(r[columns.index("signals")] for r in got) == 1001
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_count_is_shuffled_once_for_all_runs_that_it_is_a_baseline_of(spark):
+    rng = random.Random(3)
+    counts = {(r, b): rng.choice([None, 1, 2, 3]) for r in range(1, 31) for b in "abcd" if rng.random() < {"a": 1, "b": 0.5, "c": 0.1, "d": 0.05}[b]}
+    runs = compare.numbered(spark.createDataFrame([("x", r) for r in range(1, 31)], "context string, run int"), "run")
+    got = compare.wide(spark.createDataFrame([("x", r, b, v) for (r, b), v in counts.items()], "context string, run int, behavior string, count long"), runs, ["behavior"])
+    want = set()
+    for r in range(1, 31):
+        for b in "abcd":
+            near = [o for o in range(max(1, r - 10), r + 1) if (o, b) in counts]
+            if near:
+                now, vals = counts.get((r, b)), tuple(sorted(counts[o, b] for o in near if o < r and counts[o, b] is not None))
+                want.add((r, b, now, now is not None, vals, len(vals)))
+    rows = got.select("ord", "behavior", "current", "now", "vals", "present_in").collect()
+    assert len(rows) == len(want) and {(o, b, c, now, tuple(v), k) for o, b, c, now, v, k in rows} == want
+    plan = plan_of(got)
+    assert re.search(r"hashpartitioning\(context#\d+, behavior#\d+", plan) and not re.search(r"hashpartitioning\(context#\d+, ord#\d+, behavior#\d+", plan)
+
+
+def test_signals_are_found_once(spark, flood):
+    """What ranks and counts them reads a written table, not the events again."""
+    for name in ("ranked_signals", "signal_groups", "changes_report", "flood_refusal"):
+        got = QUERIES[name](spark, flood)
+        assert "events.parquet" not in plan_of(got)
+        columns, want = wanted(flood, name)
+        assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == want
